@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maqta.llm import fingerprint, line_dedup, mixing, tiff, warc
+from maqta.llm import fingerprint, langid, line_dedup, mixing, packing, tiff, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_warc": warc.op4_warc,
+        "op5_language_id": langid.op5_language_id,
+        "op6_pack": packing.op6_pack,
         "op7_media_tiff": tiff.op7_media_tiff,
         "op9_fingerprints": fingerprint.op9_fingerprints,
     }
