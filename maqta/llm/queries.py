@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maqta.llm import fingerprint, langid, line_dedup, mixing, packing, tiff, warc
+from maqta.llm import fingerprint, langid, line_dedup, mixing, packing, tiff, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": langid.op5_language_id,
         "op6_pack": packing.op6_pack,
         "op7_media_tiff": tiff.op7_media_tiff,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_fingerprints": fingerprint.op9_fingerprints,
     }
 
