@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maqta.llm import fingerprint, langid, line_dedup, mixing, packing, tiff, toxicity, warc
+from maqta.llm import fingerprint, langid, line_dedup, mixing, packing, suffix, tiff, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_tiff": tiff.op7_media_tiff,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_fingerprints": fingerprint.op9_fingerprints,
+        "op10_suffix_dedup": suffix.op10_suffix_dedup,
     }
 
 
