@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maqta.llm import fingerprint, langid, line_dedup, mixing, packing, suffix, tiff, toxicity, warc
+from maqta.llm import fingerprint, jaccard, langid, line_dedup, mixing, packing, suffix, tiff, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": jaccard.op1_jaccard_join,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_warc": warc.op4_warc,
