@@ -7,6 +7,8 @@ one task's bounded share of bins is left in each partition; the last round emits
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import drop_written, table, written
+from maqta.llm.common import table, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -25,7 +27,7 @@ SPARE = 8
 #: Items that one task packs at once, and partitions that one partition of the next round takes in.
 TASK_ITEMS = 40_000
 FAN_IN = 4
-CACHE = 400_000
+CACHE = 800_000
 #: White space as the tokenizer's normaliser knows it, where Python's str.split() knows more.
 ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 VOCABULARY = "word_bpe_49k.json"
@@ -39,20 +41,56 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    _made: dict[str, "Encoder"] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> "Encoder":
+        """One encoder for each Python worker, which keeps what it knows from task to task."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     @staticmethod
     def runs(text: str) -> list[str]:
+        # The tokenizer composes, then folds case letter by letter; where Python's folding is the same, fold at once.
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text):
+            if "<|" not in text:
+                text = text.lower()
         if any(c in text for c in ONLY_PYTHON_SPACE):
             import regex
 
             return regex.findall(r"[^\p{White_Space}]+", text)
         return text.split()
 
-    def _encode(self, runs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
+    def _encode(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each run with its ids.  A run of letters has one token that ends a word, its last, so such runs go to the
+        tokenizer as one text and are told apart by those tokens."""
+        letters = [r for r in runs if r.isalpha()]
+        for lo in range(0, len(letters), 500):
+            group = letters[lo : lo + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                for r in group:
+                    yield r, self._alone(r)
+                continue
+            data, at = ids.tobytes(), 0
+            for r, end in zip(group, (4 * ends).tolist(), strict=True):
+                yield r, data[at:end]
+                at = end
+        for r in runs:
+            if not r.isalpha():
+                yield r, self._alone(r)
+
+    def _alone(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, runs: set[str]) -> None:
         known = self.known
@@ -60,19 +98,14 @@ class Encoder:
         if len(known) + len(todo) > CACHE:
             known.clear()
             todo = list(runs)
-        # A run of letters with one mark of punctuation after it is two tokens' worth; ASCII case is folded.
-        split, plain = [], set()
-        for r in todo:
-            low = r.lower() if r.isascii() else r
-            word, mark = (low[:-1], low[-1]) if low[-1] in ".,;:!?" and low[:-1].isalpha() else (low, "")
-            split.append((r, word, mark))
-            plain.add(word)
-            if mark:
-                plain.add(mark)
-        fresh = [p for p in plain if p not in known]
-        known.update(zip(fresh, self._encode(fresh), strict=True))
+        # Letters with one mark of punctuation after them have the ids of the letters and of the mark.
+        split = [(r, r[:-1], r[-1]) for r in todo if r[-1] in ".,;:!?" and r[:-1].isalpha()]
+        plain = {r for r in todo if r[-1] not in ".,;:!?" or not r[:-1].isalpha()}
+        plain.update(word for _, word, _ in split)
+        plain.update(mark for _, _, mark in split)
+        known.update(self._encode([p for p in plain if p not in known]))
         for r, word, mark in split:
-            known[r] = known[word] + known[mark] if mark else known[word]
+            known[r] = known[word] + known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.runs(t) for t in texts]
@@ -94,7 +127,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     """
 
     def run(batches):
-        encoder = Encoder(path or public_path())
+        encoder = Encoder.shared(path or public_path())
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
@@ -218,6 +251,3 @@ def sequences(packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of ``docs`` with their place in sequences."""
     return pack(pieces_of(docs, path, capacity), capacity)
-
-
-__all__ = ["CAPACITY", "Encoder", "Iterator", "best_fit", "drop_written", "op6_pack", "pack", "pack_documents", "pieces_of", "sequences"]
