@@ -121,6 +121,23 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b" .-_*~/|,\n\t")] = True
+_SIGNS = re.compile("[0-9@$!|+(<€£¢*%#&]")
+
+
+def _hints(t: str) -> tuple[bool, bool]:
+    """Whether a text may hold letters set apart, and letters repeated, seen from its bytes alone."""
+    a = np.frombuffer(t.encode() if t.isascii() else t.encode("latin-1", "replace"), np.uint8)
+    if len(a) < 5:
+        return False, len(a) > 2
+    same = a[1:] == a[:-1]
+    repeated = bool((same[1:] & same[:-1] & (a[2:] >= 97)).any())
+    sep = _SEPARATOR[a]
+    spaced = bool((~sep[:-4] & sep[1:-3] & ~sep[2:-2] & sep[3:-1] & ~sep[4:] & np.concatenate([[True], sep[:-5]])).any())
+    return spaced, repeated
+
+
 def restore(text: str, model: CharModel) -> str:
     """The text in lower case with hidden words restored."""
     t = text.lower()
@@ -128,12 +145,16 @@ def restore(text: str, model: CharModel) -> str:
         t = INVISIBLE.sub("", unicodedata.normalize("NFKC", t)).lower()
         if any("Ͱ" <= c <= "ԯ" for c in t):
             t = " ".join(w.translate(LOOKALIKES) if any("Ͱ" <= c <= "ԯ" for c in w) and any("a" <= c <= "ÿ" for c in w) else w for w in t.split(" "))
-    if SPACED.search(t):
+    spaced, repeated = _hints(t)
+    if spaced:
         t = SPACED.sub(lambda m: model.restore_token(m[0]), t)
-    if not (MIXED.search(t) or REPEATED.search(t)):
+    if not repeated and not _SIGNS.search(t):
         return t
     out = []
     for w in t.split():
+        if w.isalpha() and not repeated:
+            out.append(w)
+            continue
         bare = w
         if not bare[-1].isalpha():
             tail = len(bare.rstrip(ENDS))
@@ -168,13 +189,21 @@ class Scorer:
     model: CharModel
     weights: dict[str, float]
     bias: float
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict)  # features of words seen
 
     def score(self, text: str | None) -> float:
         found = 0.0
         if text:
-            weights = self.weights
-            words = set(WORDS.findall(restore(text, self.model)))
-            keys = {k for w in words for k in ("=" + w, w[:4], w[:5], w[:6]) if k in weights}
+            weights, known = self.weights, self.known
+            if len(known) > 2 * CACHE:
+                known.clear()
+            keys: set[str] = set()
+            for w in set(WORDS.findall(restore(text, self.model))):
+                hits = known.get(w)
+                if hits is None:
+                    hits = known[w] = tuple(k for k in ("=" + w, w[:4], w[:5], w[:6]) if k in weights)
+                if hits:
+                    keys.update(hits)
             found = sum(weights[k] for k in sorted(keys))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, self.bias + found)))))
 
