@@ -28,6 +28,8 @@ from maqta.llm.letters import CLASSES, GRAMS, class_table, trigrams
 #: Labelled rows that the model is fitted on, at most, and features it may have.
 SAMPLE = 12_000
 FEATURES = 1500
+#: Likelihood ratio that a feature has at least: far above chance for a hundred thousand tried.
+LEAST_RATIO = 24.0
 THRESHOLD = 0.3
 SEED = 8
 CACHE = 200_000
@@ -243,10 +245,9 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent; the two labels weigh alike in sum."""
+    """Logistic regression by accelerated gradient descent."""
     n = len(y)
-    share = max(1, int(y.sum())), max(1, n - int(y.sum()))
-    weight = np.where(y > 0, 0.5 / share[0], 0.5 / share[1]).astype(np.float32)
+    weight = np.full(n, 1 / max(1, n), np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     wv, bv, step = w.copy(), b, 1.0 / (0.25 * max(1.0, float((x.sum(1) * weight).sum()) + 1) + strength / n)
     for k in range(rounds):
@@ -279,9 +280,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
         if not t or t == n:
             return Scorer(model, {}, -30.0)
         per = seen.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-        lift = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - t + 1))
-        # Features by how much they tell: log-ratio times the deviation of their count.
-        best = per.where("n >= 3").select("f", lift.alias("lift"), (F.abs(lift) * F.sqrt("n")).alias("gain")).where("lift > 0.7 or lift < -1.5").orderBy(F.desc("gain"), "f").limit(n_features).collect()
+        # Features that toxic documents have more often than chance allows, by likelihood ratio.
+        part = lambda k, base: F.when(k > 0, k * F.log(k / F.col("n") / F.lit(base))).otherwise(0.0)
+        ratio = 2 * (part(F.col("t"), t / n) + part(F.col("n") - F.col("t"), 1 - t / n))
+        best = per.where(F.col("t") * n > F.col("n") * t).select("f", ratio.alias("ratio")).where(F.col("ratio") > LEAST_RATIO).orderBy(F.desc("ratio"), "f").limit(n_features).collect()
         names = [r["f"] for r in best]
         place = {f: i for i, f in enumerate(names)}
 
