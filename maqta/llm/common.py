@@ -16,6 +16,10 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows that a Python worker is sent at once: texts and sets are long.
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -41,8 +45,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, key = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._maqta_path = path
     return out

@@ -11,6 +11,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ SPARE = 8
 #: Items that one task packs at once, and partitions that one partition of the next round takes in.
 TASK_ITEMS = 40_000
 FAN_IN = 4
-CACHE = 800_000
+#: Runs that an encoder knows at most, and keeps from task to task: those it saw first, which are the frequent ones.
+CACHE, KEPT = 400_000, 100_000
 #: White space as the tokenizer's normaliser knows it, where Python's str.split() knows more.
 ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 VOCABULARY = "word_bpe_49k.json"
@@ -57,6 +59,11 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def trim(self) -> None:
+        """Forgets all but the runs seen first."""
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+
     @staticmethod
     def runs(text: str) -> list[str]:
         # The tokenizer composes, then folds case letter by letter; where Python's folding is the same, fold at once.
@@ -96,8 +103,9 @@ class Encoder:
         known = self.known
         todo = [r for r in runs if r not in known]
         if len(known) + len(todo) > CACHE:
-            known.clear()
-            todo = list(runs)
+            self.trim()
+            known = self.known
+            todo = [r for r in runs if r not in known]
         # Letters with one mark of punctuation after them have the ids of the letters and of the mark.
         split = [(r, r[:-1], r[-1]) for r in todo if r[-1] in ".,;:!?" and r[:-1].isalpha()]
         plain = {r for r in todo if r[-1] not in ".,;:!?" or not r[:-1].isalpha()}
@@ -140,6 +148,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
                         rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        encoder.trim()
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if keep_ids else out.drop("ids")
