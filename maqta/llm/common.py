@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -75,6 +78,29 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Gives memory that this Python worker no longer needs back to the system; idle workers stay alive beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """A function for mapInArrow that releases memory when its partition is done."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array in one array, and each row's offsets in it; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

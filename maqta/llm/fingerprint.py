@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import GOLDEN, byte_table, mix64, partitions, prefix_hash, span_hash, table
+from maqta.llm.common import GOLDEN, byte_table, mix64, partitions, prefix_hash, span_hash, table, tidy
 
 SAMPLES = 96
 BUCKETS = 1 << 16
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(docs).mapInArrow(run, SCHEMA)
+    return with_next(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import table
+from maqta.llm.common import table, tidy
 from maqta.llm.letters import CLASSES, GRAMS, trigrams
 
 DIMENSIONS = 512
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Prototypes:
         total = sum(np.frombuffer(x.as_py(), np.float64) for x in group.column("total"))
         return pa.table({"lang": group.column("lang")[:1], "total": pa.array([total.tobytes()], pa.binary())})
 
-    found = rows.select("lang", "text").mapInArrow(run, "lang string, total binary").groupBy("lang").applyInArrow(merge, "lang string, total binary")
+    found = rows.select("lang", "text").mapInArrow(tidy(run), "lang string, total binary").groupBy("lang").applyInArrow(merge, "lang string, total binary")
     made = sorted((r["lang"], np.frombuffer(r["total"], np.float64)) for r in found.collect())  # a row per language
     made = [(k, v / np.linalg.norm(v)) for k, v in made if np.linalg.norm(v)]
     return Prototypes(tuple(k for k, _ in made), np.array([v for _, v in made]).reshape(len(made), DIMENSIONS))
@@ -125,7 +125,7 @@ def predict(docs: DataFrame, prototypes: Prototypes, keep: bool = False) -> Data
             yield pa.record_batch([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

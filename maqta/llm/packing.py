@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import table, written
+from maqta.llm.common import table, tidy, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,7 +29,7 @@ SPARE = 8
 TASK_ITEMS = 40_000
 FAN_IN = 4
 #: Runs that an encoder knows at most, and keeps from task to task: those it saw first, which are the frequent ones.
-CACHE, KEPT = 400_000, 100_000
+CACHE, KEPT = 600_000, 100_000
 #: White space as the tokenizer's normaliser knows it, where Python's str.split() knows more.
 ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 VOCABULARY = "word_bpe_49k.json"
@@ -150,7 +150,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
         encoder.trim()
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if keep_ids else out.drop("ids")
 
 
@@ -213,7 +213,7 @@ def _round(df: DataFrame, capacity: int, last: bool, level: int) -> DataFrame:
             t = t.append_column(name, c)
         yield from t.combine_chunks().to_batches()
 
-    return df.select(*PIECE, "bin", "offset").mapInArrow(run, PACKED)
+    return df.select(*PIECE, "bin", "offset").mapInArrow(tidy(run), PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITEMS) -> DataFrame:

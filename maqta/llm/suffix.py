@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import byte_table, drop_written, partitions, pieces, prefix_hash, span_hash, table, text_buffers, written
+from maqta.llm.common import byte_table, drop_written, partitions, pieces, prefix_hash, span_hash, table, text_buffers, tidy, written
 
 WINDOW = 200
 ANCHOR = 100
@@ -77,7 +77,7 @@ def fragments(docs: DataFrame) -> DataFrame:
                 keys = batch.column(0).to_numpy()
                 yield pa.record_batch([pa.array(anchor), pa.array(frag), pa.array(keys[of]), pa.array(start), pa.array(n_win.astype(np.int32)), pa.array(lead.astype(np.int32))], names=["anchor", "frag", "row_key", "start", "n_win", "lead"])
 
-    return docs.select("row_key", "text").mapInArrow(run, FRAGMENT)
+    return docs.select("row_key", "text").mapInArrow(tidy(run), FRAGMENT)
 
 
 def _least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def _resolve(contested: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return contested.select("anchor", "row_key", "start", "lead", "bytes", "open").mapInArrow(run, "row_key long, first long, last long")
+    return contested.select("anchor", "row_key", "start", "lead", "bytes", "open").mapInArrow(tidy(run), "row_key long, first long, last long")
 
 
 def _one_by_one(large: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _one_by_one(large: DataFrame) -> DataFrame:
                 windows = [hashlib.blake2b(text[i : i + WINDOW], digest_size=16).digest() for i in range(n)]
                 yield pa.record_batch([pa.array([anchor] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array([lead - i for i in range(n)], pa.int32()), pa.array(windows, pa.binary()), pa.array([is_open] * n, pa.bool_())], names=["anchor", "row_key", "first", "lead", "window", "open"])
 
-    rows = large.select("anchor", "row_key", "start", "lead", "bytes", "open").mapInArrow(run, "anchor long, row_key long, first long, lead int, window binary, open boolean")
+    rows = large.select("anchor", "row_key", "start", "lead", "bytes", "open").mapInArrow(tidy(run), "anchor long, row_key long, first long, lead int, window binary, open boolean")
     again = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     return rows.where("open").join(again, "window", "left_semi").select("row_key", "first", F.col("first").alias("last"))
 
@@ -299,7 +299,7 @@ def _cut(rows: DataFrame, keep: bool) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.select("doc_id", "text", "firsts", "lasts").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", "firsts", "lasts").mapInArrow(tidy(run), SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:

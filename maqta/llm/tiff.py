@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from maqta.llm.common import pieces, table
+from maqta.llm.common import pieces, table, tidy
 
 WIDTH = 64
 STRIP_ROWS = 1024
@@ -250,7 +250,7 @@ def tiff_pages(df: DataFrame, content: str, key: str) -> DataFrame:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(key, content).mapInArrow(run, f"key {kind}, page int, width int, height int, samples_per_pixel int, compression int, samples binary, error string")
+    return df.select(key, content).mapInArrow(tidy(run), f"key {kind}, page int, width int, height int, samples_per_pixel int, compression int, samples binary, error string")
 
 
 def padded(raw: bytes, unit: int = WIDTH) -> bytes:
@@ -293,7 +293,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.record_batch([batch.column(0).cast(pa.int64()), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, MEDIA_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), MEDIA_SCHEMA)
 
 
 def op7_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

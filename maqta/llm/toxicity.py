@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import table
+from maqta.llm.common import table, tidy
 from maqta.llm.letters import CLASSES, GRAMS, class_table, trigrams
 
 #: Labelled rows that the model is fitted on, at most, and features it may have.
@@ -237,7 +237,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(x.as_py(), np.int64)
         return pa.table({"block": group.column("block")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()  # GRAMS numbers in all
+    found = docs.select("text").mapInArrow(tidy(run), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()  # GRAMS numbers in all
     out = np.zeros(-(-GRAMS // block) * block, np.int64)
     for r in found:
         out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], np.int64)
@@ -274,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             found = [sorted(features(restore(t or "", model))) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "found"])
 
-    seen = rows.mapInArrow(run, "doc_id long, toxic int, found array<string>").persist()
+    seen = rows.mapInArrow(tidy(run), "doc_id long, toxic int, found array<string>").persist()
     try:
         n, t = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not t or t == n:
@@ -291,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             for batch in batches:
                 yield pa.record_batch([batch.column(1), pa.array([[place[f] for f in fs if f in place] for fs in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "ids"])
 
-        got = seen.mapInArrow(pick, "toxic int, ids array<int>").collect()  # the bounded sample
+        got = seen.mapInArrow(tidy(pick), "toxic int, ids array<int>").collect()  # the bounded sample
     finally:
         seen.unpersist()
     x, y = np.zeros((len(got), len(names)), np.float32), np.array([r["toxic"] for r in got], np.float32)
@@ -311,7 +311,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
             found = np.array([s.score(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import drop_written, new_path, partitions, table, written
+from maqta.llm.common import drop_written, new_path, partitions, table, tidy, written
 
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
@@ -168,7 +168,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         close()
         yield pa.record_batch([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "records"])
 
-    return written(records.mapInArrow(run, "path string, records long"), "warc-written")
+    return written(records.mapInArrow(tidy(run), "path string, records long"), "warc-written")
 
 
 def _by_archive(manifest: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def normalise(manifest: DataFrame, folder: str, drop_source: bool = True) -> Dat
                 rows.append((f"{stem}.rec.warc.gz", f"{stem}.idx", normalise_archive(files, source, f"{stem}.rec.warc.gz", f"{stem}.idx")))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["path", "index_path", "records"])
 
-    out = written(_by_archive(manifest).mapInArrow(run, "path string, index_path string, records long"), "warc-normal")
+    out = written(_by_archive(manifest).mapInArrow(tidy(run), "path string, index_path string, records long"), "warc-normal")
     if drop_source:
 
         def drop(batches):
@@ -240,7 +240,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                         rows, held = [], 0
                 yield _rows(rows)
 
-    return _by_archive(manifest).select("path", "index_path").mapInArrow(run, READ_SCHEMA)
+    return _by_archive(manifest).select("path", "index_path").mapInArrow(tidy(run), READ_SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
