@@ -60,28 +60,37 @@ def line_groups(paras: DataFrame) -> DataFrame:
     return cut.groupBy("doc_id", "section_idx", "para_idx", "group_idx").agg(F.min("start").cast("int").alias("start"), text.alias("text"))
 
 
-def _protected(mark: Column, head: Column, tail: Column) -> Column:
-    """Whether the dot that opens ``mark`` belongs to an abbreviation, initials or a list number.
+_OPEN, _CLOSE = rf"(?:\A|{S})[(«\"'\[]*", rf"ـ*{S}*\z"
 
-    head: up to 100 characters before it, within its group of lines; tail: up to 15 after it.
+
+def _one_of(words: list[str]) -> str:
+    """Tokens of a list as a pattern; tatweel at a token's end does not count."""
+    return "|".join(sorted({w.rstrip("ـ").replace(".", r"\.") for w in words}, key=len, reverse=True))
+
+
+_NOTHING = rf"\A{S}*\z"
+_AND_SO_ON = rf"(?iu){_OPEN}(?:{_one_of(L.AND_SO_ON)}){_CLOSE}"
+_ERA = rf"(?iu){_OPEN}(?:{_one_of(L.ERAS)}){_CLOSE}"
+_YEAR_ERA = rf"(?iu)(?:\A|{S}){L.DIGIT}+{S}+[(«\"'\[]*(?:{_one_of(L.ERAS)}){_CLOSE}"
+_SHORT = rf"(?u){_OPEN}(?:(?i:{_one_of(L.ABBREVIATIONS)})|\p{{L}}|(?:[A-Za-z]\.)+[A-Za-z]?){_CLOSE}"
+_NUMBER = rf"{_OPEN}({L.DIGIT}+){_CLOSE}"
+
+
+def _protected(head: Column, tail: Column) -> Column:
+    """Whether a dot belongs to an abbreviation, initials or a list number.
+
+    head: up to 100 characters before it, within its group of lines; tail: up to 15 after it.  What counts is the
+    run of characters before the dot, without opening marks, of which 80 characters are looked at.
     """
     near = F.right(head, F.lit(LOOK_BACK))
-    bare = F.regexp_replace(near, F.lit(rf"{S}+\z"), F.lit(""))
-    run = F.regexp_extract(bare, rf"({NOT_S}+)\z", 1)
-    token = F.regexp_replace(F.regexp_replace(run, F.lit(r"\A[(«\"'\[]+"), F.lit("")), F.lit("ـ+\\z"), F.lit(""))
-    low = F.lower(token)
-    earlier = F.regexp_extract(F.substring(bare, F.lit(1), F.length(bare) - F.length(run)), rf"({NOT_S}+){S}*\z", 1)
     line = F.regexp_extract(head, r"([^\n]*)\z", 1)
-    next_char = F.substring(F.regexp_replace(tail, F.lit(rf"\A{S}+"), F.lit("")), 1, 1)
-    numbered = (F.length(line) <= F.length(token) + 8) & (strip(line) == token)
+    alone = line.rlike(rf"\A{S}*{L.DIGIT}+{S}*\z") & (F.length(F.regexp_replace(line, F.lit(f"{L.DIGIT}+"), F.lit(""))) <= 8)
     return (
-        F.when(run == "", True)
-        .when(low.isin(L.AND_SO_ON), next_char.rlike(r"\p{Ll}"))
-        .when(low.isin(L.ERAS), ~earlier.rlike(rf"\A{L.DIGIT}+\z"))
-        .when(low.isin(L.ABBREVIATIONS), True)
-        .when(token.rlike(r"\A\p{L}\z"), True)
-        .when(token.rlike(r"\A(?:[A-Za-z]\.)+[A-Za-z]?\z"), True)
-        .when(token.rlike(rf"\A{L.DIGIT}+\z"), numbered)
+        F.when(near.rlike(_NOTHING), True)
+        .when(near.rlike(_AND_SO_ON), tail.rlike(rf"\A{S}*\p{{Ll}}"))
+        .when(near.rlike(_ERA), ~near.rlike(_YEAR_ERA))
+        .when(near.rlike(_SHORT), True)
+        .when(near.rlike(_NUMBER), alone)
         .otherwise(False)
     )
 
@@ -96,7 +105,7 @@ def sentences(secs: DataFrame) -> DataFrame:
     parts = groups.withColumn("pieces", F.split("text", TERMINATOR, -1)).withColumn("marks", all_of(f"({TERMINATOR})", 1))
     parts = parts.withColumn("heads", F.zip_with(all_of(_HEAD + TERMINATOR, 1), all_of(_HEAD + TERMINATOR, 2), lambda a, b: F.concat(a, b)))
     parts = parts.withColumn("tails", all_of(rf"(?s)(?=[.…!?؟](.{{0,{LOOK_AHEAD}}})){TERMINATOR}", 1))
-    ended = F.transform(F.arrays_zip("marks", "heads", "tails"), lambda x: F.when(x["marks"].startswith(".") & ~x["marks"].startswith("...") & _protected(x["marks"], x["heads"], x["tails"]), x["marks"]).otherwise(F.concat(x["marks"], F.lit(MARK))))
+    ended = F.transform(F.arrays_zip("marks", "heads", "tails"), lambda x: F.when(x["marks"].startswith(".") & ~x["marks"].startswith("...") & _protected(x["heads"], x["tails"]), x["marks"]).otherwise(F.concat(x["marks"], F.lit(MARK))))
     joined = F.array_join(F.transform(F.arrays_zip(F.col("pieces").alias("p"), F.concat(ended, F.array(F.lit(""))).alias("m")), lambda x: F.concat(x["p"], x["m"])), "")
     cut = parts.select("doc_id", "section_idx", "para_idx", "group_idx", F.col("start").alias("base"), F.posexplode(F.split(joined, MARK, -1)).alias("i", "raw"))
     before = W.partitionBy("doc_id", "section_idx", "para_idx", "group_idx").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
@@ -107,24 +116,25 @@ def sentences(secs: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def greedy_groups(sizes: pd.Series, most: pd.Series) -> pd.Series:
-    """Group numbers of items packed in order: an item opens a group if it does not fit into the open one.
+def greedy_groups(sizes: pd.Series, most: pd.Series, fill: pd.Series) -> pd.Series:
+    """Group numbers of items packed in order: an item opens a group if it does not fit into the open one; with ``fill``
+    a group that holds nothing yet takes any item.
 
     Where the open group ends depends on all items before, which no built-in expression does in linear time.
     """
 
-    def pack(row, limit):
+    def pack(row, limit, must_fill):
         if row is None:
             return None
         out, group, held = [], 0, 0
         for i, size in enumerate(row):
-            if i and held + size > limit:
+            if i and held + size > limit and (held or not must_fill):
                 group, held = group + 1, 0
             held += size
             out.append(group)
         return out
 
-    return pd.Series([pack(r, m) for r, m in zip(sizes, most, strict=True)], dtype=object)
+    return pd.Series([pack(*x) for x in zip(sizes, most, fill, strict=True)], dtype=object)
 
 
 def _divide(spans: DataFrame, pattern: str | None, most: int) -> DataFrame:
@@ -133,7 +143,7 @@ def _divide(spans: DataFrame, pattern: str | None, most: int) -> DataFrame:
     marked = F.regexp_replace(text, F.lit(f"({pattern})" if pattern else f"({NOT_S}+{S}*)"), F.lit(f"$1{MARK}"))
     long = F.col("words") > most
     work = spans.withColumn("words", count_words("text")).withColumn("pieces", F.when(long, F.filter(F.split(marked, MARK, -1), lambda x: x != "")))
-    work = work.withColumn("group_of", greedy_groups(F.transform("pieces", count_words), F.lit(most)))
+    work = work.withColumn("group_of", greedy_groups(F.transform("pieces", count_words), F.lit(most), F.lit(False)))
     # Pieces of one group are put together again; white space at a piece's ends belongs to no unit.
     groups = F.when(long, F.transform(F.sequence(F.lit(0), F.element_at("group_of", -1)), lambda g: F.array_join(F.transform(F.filter(F.arrays_zip("pieces", "group_of"), lambda x: x["group_of"] == g), lambda x: x["pieces"]), ""))).otherwise(F.array("text"))
     keep = [c for c in spans.columns if c not in ("start", "end", "text", "paragraph_start")]
