@@ -147,12 +147,11 @@ def _divide(spans: DataFrame, pattern: str | None, most: int) -> DataFrame:
     # Pieces of one group are put together again; white space at a piece's ends belongs to no unit.
     groups = F.when(long, F.transform(F.sequence(F.lit(0), F.element_at("group_of", -1)), lambda g: F.array_join(F.transform(F.filter(F.arrays_zip("pieces", "group_of"), lambda x: x["group_of"] == g), lambda x: x["pieces"]), ""))).otherwise(F.array("text"))
     keep = [c for c in spans.columns if c not in ("start", "end", "text", "paragraph_start")]
-    out = work.select(*keep, F.col("start").alias("base"), "paragraph_start", F.posexplode(groups).alias("i", "raw"))
-    before = W.partitionBy("doc_id", "base").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    out = out.withColumn("at", F.col("base") + F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0))).withColumn("text", strip("raw")).where("text <> ''")
-    out = out.withColumn("start", (F.col("at") + _lead(F.col("raw"))).cast("int"))
-    first = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("i")) == 1
-    return out.select(*keep, "start", (F.col("start") + F.length("text")).cast("int").alias("end"), "text", (F.col("paragraph_start") & first).alias("paragraph_start"))
+    # Offsets are summed up within the span's own few pieces: no window, so nothing is sorted or shuffled.
+    placed = F.transform("raws", lambda raw, i: F.struct(F.aggregate(F.slice("raws", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)).alias("at"), raw.alias("raw")))
+    out = work.withColumn("raws", groups).select(*keep, F.col("start").alias("base"), "paragraph_start", F.posexplode(F.filter(placed, lambda x: strip(x["raw"]) != "")).alias("i", "p"))
+    out = out.withColumn("text", strip("p.raw")).withColumn("start", (F.col("base") + F.col("p.at") + _lead(F.col("p.raw"))).cast("int"))
+    return out.select(*keep, "start", (F.col("start") + F.length("text")).cast("int").alias("end"), "text", (F.col("paragraph_start") & (F.col("i") == 0)).alias("paragraph_start"))
 
 
 def split_long(spans: DataFrame, max_tokens: int) -> DataFrame:
