@@ -125,7 +125,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), *(v.alias(n) for n, v in keyed(docs).items()))
     sized = written(with_bin(rows.drop("row")), "mix-sized")
     out = taken(with_bin(rows), mix_plan(sized, weights))
-    copies = F.col("epochs") + F.when(F.col("more") * 2 >= F.col("size"), F.sign("more")).otherwise(0)
+    # A document without words is no part of a mix, however often its source is taken.
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + F.when(F.col("more") * 2 >= F.col("size"), F.sign("more")).otherwise(0))
     out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return out.select("row.*")
 
