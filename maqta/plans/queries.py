@@ -236,7 +236,34 @@ def oracle_sql() -> dict[str, str]:
     item = LIST_ITEM_RE2
     plain_lines = """t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l0 AS (SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM t),
       l1 AS (SELECT doc_id, i - 1 AS line_idx, CASE WHEN i < n THEN body || chr(10) ELSE body END AS line FROM l0), l AS (SELECT * FROM l1 WHERE line <> '')"""
+    sentence = f"""t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+      l0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
+      l1 AS (SELECT *, lag(line) OVER w AS prev, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      l2 AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND (regexp_matches(prev, {_re2(f"{L.LINE_END}[{space}]*" + chr(92) + "z")}) OR regexp_matches(prev, {_re2(f"^[{space}]*" + chr(92) + "z")}) OR regexp_matches(line, {_re2(LIST_MARKER_RE2)})) THEN 1 ELSE 0 END) OVER w AS g,
+        sum(CASE WHEN regexp_matches(line, {_re2(f"^[{space}]*" + chr(92) + "z")}) THEN 1 ELSE 0 END) OVER w AS para FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      g0 AS (SELECT doc_id, g, min(para) AS para, min(place) AS place, string_agg(line, chr(10) ORDER BY i) AS body FROM l2 GROUP BY doc_id, g),
+      g1 AS (SELECT *, string_split(regexp_replace(body, {_re2(f"({L.TERMINATOR_RUN}{L.CLOSERS})([{space}]|" + chr(92) + f"z|[{letter}])")}, '\\1' || chr(57344) || '\\2', 'g'), chr(57344)) AS fs FROM g0),
+      f0 AS (SELECT doc_id, g, para, place, body, unnest(fs) AS f, generate_subscripts(fs, 1) AS k, len(fs) AS n FROM g1),
+      f1 AS (SELECT *, coalesce(sum(length(f)) OVER (PARTITION BY doc_id, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fo, CASE WHEN k < n THEN regexp_extract(f, {_re2(f"({L.TERMINATOR_RUN}{L.CLOSERS})" + chr(92) + "z")}, 1) END AS mark FROM f0),
+      f2 AS (SELECT *, CAST(fo + length(f) - length(mark) AS BIGINT) AS dot FROM f1),
+      f3 AS (SELECT *, substr(body, greatest(dot - 100, 0) + 1, least(dot, 100)) AS head, substr(body, greatest(dot - 80, 0) + 1, least(dot, 80)) AS near, substr(body, dot + 2, 15) AS tail FROM f2),
+      f4 AS (SELECT *, regexp_extract(head, '[^' || chr(10) || ']*' || chr(92) || 'z') AS line,
+        CASE WHEN mark IS NULL OR NOT starts_with(mark, '.') OR starts_with(mark, '...') THEN FALSE
+         WHEN regexp_matches(near, {_re2(sentences._NOTHING)}) THEN TRUE WHEN regexp_matches(near, {_re2(_plain_flags(sentences._AND_SO_ON))}) THEN regexp_matches(tail, {_re2(f"^[{space}]*" + chr(92) + "p{Ll}")})
+         WHEN regexp_matches(near, {_re2(_plain_flags(sentences._ERA))}) THEN NOT regexp_matches(near, {_re2(_plain_flags(sentences._YEAR_ERA))})
+         WHEN regexp_matches(near, {_re2(_plain_flags(sentences._SHORT))}) THEN TRUE
+         WHEN regexp_matches(near, {_re2(sentences._NUMBER)}) THEN regexp_matches(line, {_re2(f"^[{space}]*" + chr(92) + f"p{{Nd}}+[{space}]*" + chr(92) + "z")}) AND length(regexp_replace(line, {_re2(chr(92) + "p{Nd}+")}, '', 'g')) <= 8
+         ELSE FALSE END AS kept_open FROM f3),
+      f5 AS (SELECT *, coalesce(sum(CASE WHEN kept_open THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM f4),
+      s0 AS (SELECT doc_id, g, any_value(para) AS para, sent, min(place + fo) AS place, string_agg(f, '' ORDER BY k) AS raw FROM f5 GROUP BY doc_id, g, sent),
+      s1 AS (SELECT *, regexp_replace(raw, {_re2(f"^[{space}]+")}, '') AS lead FROM s0),
+      s AS (SELECT doc_id, para, CAST(place + length(raw) - length(lead) AS INTEGER) AS start, regexp_replace(lead, {_re2(f"[{space}]+" + chr(92) + "z")}, '') AS text FROM s1 WHERE lead <> '')"""
     return {
+        "q_sentences": f"""WITH {sentence} SELECT doc_id, start, CAST(start + length(text) AS INTEGER) AS "end", text, row_number() OVER (PARTITION BY doc_id, para ORDER BY start) = 1 AS paragraph_start FROM s""",
+        "q_fixed_size": f"""WITH RECURSIVE {sentence}, o AS (SELECT doc_id, start, len(regexp_extract_all(text, {word})) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM s),
+          r AS (SELECT doc_id, i, n AS held, FALSE AS cut, start FROM o WHERE i = 1 UNION ALL
+            SELECT o.doc_id, o.i, CASE WHEN held > 0 AND held + o.n > 64 THEN o.n ELSE held + o.n END, held > 0 AND held + o.n > 64, o.start FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)
+          SELECT doc_id, coalesce(string_agg(CAST(start AS VARCHAR), ',' ORDER BY i) FILTER (cut), '') AS cuts FROM r GROUP BY doc_id""",
         "q_word_count": f"SELECT doc_id, len(regexp_extract_all(text, {word})) AS n_words FROM documents",
         "q_words": f"SELECT doc_id, array_to_string(regexp_extract_all({mix}, {word}), '|') AS words FROM documents",
         "q_strip_diacritics": f"SELECT doc_id, {cut(mix, f'[{L.DIACRITICS}]')} AS plain FROM documents",
@@ -259,4 +286,10 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def _plain_flags(pattern: str) -> str:
+    """Without Java's flag for Unicode case, which RE2 always has."""
+    return pattern.replace("(?iu)", "(?i)").replace("(?u)", "")
+
+
+LIST_MARKER_RE2 = rf"^[{L.SPACE}]*(?:[{re.sub('-', '', L.LIST_BULLETS)}\-]|\(?\pN{{1,3}}[.)\-–]|\(?[{L.ARABIC}][)\-–]|(?:{'|'.join(L.LIST_ORDINALS)}))"
 LIST_ITEM_RE2 = rf"^[{L.SPACE}]*(?:[{re.sub('-', '', L.ITEM_BULLETS)}\-]|\(?\pN{{1,3}}[.)\-]|\(?[{L.ARABIC}][)\-])"
