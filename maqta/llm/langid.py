@@ -41,6 +41,12 @@ def gram_vectors() -> np.ndarray:
     return _VECTORS
 
 
+def forget_vectors() -> None:
+    """Drops the vectors, which are made anew in a tenth of a second: idle workers should not hold them."""
+    global _VECTORS
+    _VECTORS = None
+
+
 def profile(text: str | None) -> np.ndarray | None:
     """Unit vector of a text; none without letters."""
     if not text:
@@ -97,6 +103,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Prototypes:
                 if v is not None:
                     k = lang.as_py()
                     sums[k] = sums[k] + v if k in sums else v
+        forget_vectors()
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "total"])
 
     def merge(group: pa.Table) -> pa.Table:
@@ -123,6 +130,7 @@ def predict(docs: DataFrame, prototypes: Prototypes, keep: bool = False) -> Data
             found = [known.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
+        forget_vectors()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
