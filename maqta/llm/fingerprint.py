@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import GOLDEN, byte_table, mix64, partitions, prefix_hash, span_hash, table, tidy
+from maqta.llm.common import GOLDEN, MIX1, MIX2, byte_table, mix64, partitions, prefix_hash, span_hash, table, tidy
 
 SAMPLES = 96
+#: Small terms for trials of the sampler; a text's terms are 64-bit hashes and are not folded.
 BUCKETS = 1 << 16
+#: Terms that are drawn for at once.
+BLOCK = 512
 SEED = 9
 EMPTY = "0" * (4 * SAMPLES)
 _LETTERS = byte_table(SEED)
@@ -32,18 +35,18 @@ _SPACE[[32, *range(9, 14)]] = True
 
 
 class Sampler:
-    """The random numbers of ``BUCKETS`` hashed terms; the same on every machine."""
+    """Random numbers of each term and sample from the term's 64-bit hash alone, the same on every machine.
+
+    With g, g' and e exponential, c = g + g' and g / c are a Gamma(2, 1) and an independent Uniform(0, 1), and so are
+    r = ln(c / g) + e and 1 - b = ln(c / g) / r.  Then the value of level t is ln g - r t: a term of weight 1, whose level
+    is 0, offers g, the least of which has the greatest hash, and only terms of greater weight need r.
+    """
 
     _made: "Sampler | None" = None
 
-    def __init__(self, buckets: int = BUCKETS, samples: int = SAMPLES) -> None:
-        rng = np.random.Generator(np.random.PCG64(SEED))
-        shape = (buckets, samples)
-        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.b = rng.random(shape, np.float32)
-        self.buckets, self.samples = buckets, samples
-        self.once = self.ln_c - self.r * (1 - self.b)  # what a term of weight 1 offers: level 0
+    def __init__(self, samples: int = SAMPLES) -> None:
+        self.samples = samples
+        self.keys = mix64((np.arange(1, samples + 1, dtype=np.uint64) + np.uint64(SEED << 32)) * GOLDEN)
 
     @classmethod
     def shared(cls) -> "Sampler":
@@ -51,41 +54,58 @@ class Sampler:
             cls._made = cls()
         return cls._made
 
-    def offers(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The value of each term in each sample."""
-        out = self.once[terms]
-        many = np.flatnonzero(weights != 1)
-        for lo in range(0, len(many), 1 << 14):
-            i = many[lo : lo + (1 << 14)]
-            r, b = self.r[terms[i]], self.b[terms[i]]
-            level = np.floor(np.log(weights[i].astype(np.float32))[:, None] / r + b)
-            out[i] = self.ln_c[terms[i]] - r * (level - b) - r
-        return out
+    def hashes(self, terms: np.ndarray) -> np.ndarray:
+        """64 bits of each term in each sample; terms that differ have bits that differ."""
+        x = mix64(terms)[:, None] ^ self.keys
+        x *= MIX1
+        x ^= x >> np.uint64(32)
+        x *= MIX2
+        return x
+
+    def weighted(self, x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the value, and the level, of terms with hashes ``x`` and any weights."""
+        y = mix64(x)
+        g = _exponential(x)
+        u = np.log1p(_exponential(y) / g)  # ln(c / g)
+        r = u + _exponential(mix64(y + GOLDEN))
+        level = np.floor((np.log(weights)[:, None] - u) / r + 1)
+        return g * np.exp(-r * level), level
 
     def signature(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """16 bits per sample of the least value, which tells the term and level that offered it."""
-        least = np.full(self.samples, np.inf, np.float32)
-        for lo in range(0, len(terms), 1 << 14):
-            least = np.minimum(least, self.offers(terms[lo : lo + (1 << 14)], weights[lo : lo + (1 << 14)]).min(axis=0))
-        return (mix64(least.view(np.uint32).astype(np.uint64) * GOLDEN) >> np.uint64(48)).astype(np.uint16)
-
-
-def weighted_terms(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word pairs of a text (a lone word stands for itself) and their counts."""
+        """16 bits per sample of the term and level that offered the least value."""
+        once = terms[weights == 1]
+        most = np.zeros(self.samples, np.uint64)
+        for lo in range(0, len(once), BLOCK):
+            most = np.maximum(most, self.hashes(once[lo : lo + BLOCK]).max(axis=0))
+        least = _exponential(most) if len(once) else np.full(self.samples, np.inf)
+        mark = most
+        many, column = np.flatnonzero(weights != 1), np.arange(self.samples)
+        for lo in range(0, len(many), BLOCK):
+            i = many[lo : lo + BLOCK]
+            x = self.hashes(terms[i])
+            value, level = self.weighted(x, weights[i])
+            at = value.argmin(axis=0)
+            value, own = value[at, column], x[at, column] + level[at, column].astype(np.int64).view(np.uint64) * GOLDEN
+            least, mark = np.where(value < least, value, least), np.where(value < least, own, mark)
+        return (mix64(mark) >> np.uint64(48)).astype(np.uint16)
+
+
+def _exponential(x: np.ndarray) -> np.ndarray:
+    """Exponential numbers of 64-bit hashes, less for greater ones."""
+    return -np.log(((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52)
+
+
+def weighted_terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's word pairs (a lone word stands for itself) and their counts."""
     a = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(a) + 2, bool)
     inside[1:-1] = ~_SPACE[a]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = span_hash(prefix_hash(_LETTERS[a]), start, end)
-    pairs = h if len(h) == 1 else mix64(h[:-1] * GOLDEN + h[1:])
-    counts = np.bincount((pairs % np.uint64(buckets)).astype(np.int64)) if len(pairs) > 4096 else None
-    if counts is not None:
-        terms = np.flatnonzero(counts)
-        return terms, counts[terms]
-    return np.unique((pairs % np.uint64(buckets)).astype(np.int64), return_counts=True)
+    return np.unique(h if len(h) == 1 else mix64(h[:-1] * GOLDEN + h[1:]), return_counts=True)
 
 
 def fingerprint(text: str) -> str:

@@ -174,6 +174,33 @@ def test_collisions_follow_generalised_jaccard():
         assert (marks[0] == marks[1]).mean() == pytest.approx(least / most, abs=0.16)
 
 
+@pytest.mark.parametrize("shared", [0, 20_000])
+def test_long_texts_agree_as_their_unfolded_pairs_do(shared):
+    rng = np.random.default_rng(10)
+
+    def words(n):
+        return [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+
+    both = words(shared)
+    a, b = (both + words(60_000 - shared) for _ in range(2))
+    if shared:
+        b += b[:3000] * 2  # pairs of greater weight
+    x, y = (Counter(zip(t, t[1:])) for t in (a, b))
+    exact = (x & y).total() / (x | y).total()
+    marks = [fingerprint.fingerprint(" ".join(t)) for t in (a, b)]
+    assert fingerprint.likeness(*marks) == pytest.approx(exact, abs=0.15 if shared else 0.02)
+
+
+def test_offers_have_the_laws_of_gamma_sampling():
+    sampler = fingerprint.Sampler.shared()
+    for weight in (1, 2, 7, 50):  # a least value that is exponential, with the weight as its rate
+        value, level = sampler.weighted(sampler.hashes(np.arange(1000, 3000)), np.full(2000, weight))
+        assert value.mean() * weight == pytest.approx(1, abs=0.02) and (value**2).mean() * weight**2 == pytest.approx(2, abs=0.1)
+        assert (level == 0).all() if weight == 1 else (level >= 0).all()
+    marks = np.array([[sampler.signature(np.array([t]), np.array([w])) for w in (3, 7)] for t in range(200)])
+    assert (marks[:, 0] == marks[:, 1]).mean() == pytest.approx(3 / 7, abs=0.02)
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["sun", "moon", "tide", "é", "star"]) for _ in range(rng.randint(1, 60)))) for i in range(40)]
