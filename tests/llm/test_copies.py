@@ -67,6 +67,17 @@ def test_jaccard_components(spark, seed):
         assert sorted(r["doc_id"] for r in kept) == sorted(k for k, v in want.items() if k == v)
 
 
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(9)]
+    rows = [(7, t) for t in texts[:4]] + [(None, t) for t in texts[4:8]] + [(None, None), (None, ""), (7, "")]
+    # Copies: one id on rows of two components, a null id beside an id, repeats of whole rows.
+    rows += [(3, texts[0]), (9, texts[5]), (7, texts[8]), (8, texts[8]), (7, texts[1]), (None, texts[6])]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(3, texts[0]), *((7, t) for t in texts[1:4]), (None, texts[4]), (9, texts[5]), (None, texts[6]), (None, texts[7]), (None, None), (None, ""), (7, ""), (7, texts[8])]
+    assert Counter(map(tuple, kept)) == Counter(want)
+
+
 def test_jaccard_turns_leave_nothing_out(spark, monkeypatch):
     rows = near_copies(3, 120)
     monkeypatch.setattr(jaccard, "TURNS", 3)
