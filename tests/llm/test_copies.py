@@ -78,6 +78,21 @@ def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
     assert Counter(map(tuple, kept)) == Counter(want)
 
 
+def test_jaccard_links_rows_without_ids(spark):
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    chain = [" ".join(w[k : k + 60]) for k in (0, 4, 8, 12)]  # neighbours are linked, others are not
+    other = " ".join(w[::-1])
+    rows = [(5, chain[0]), (None, chain[1]), (None, chain[1]), (0, chain[2]), (None, chain[3]), (None, other), (None, other + " more"), (0, "a b"), (0, other + " a b")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    count = Counter((r["doc_id"], r["component_id"]) for r in got)
+    assert count == {(5, 0): 1, (None, 0): 5, (0, 0): 3}
+    got = jaccard.jaccard_components(spark.createDataFrame([(5, chain[0]), (None, chain[1]), (7, chain[2]), (None, other), (None, other + " x")], "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == {(5, 5): 1, (None, 5): 1, (7, 5): 1, (None, None): 2}
+    kept = jaccard.one_of_each(spark.createDataFrame([(None, other), (None, other + " x"), (None, chain[0])], "doc_id long, text string")).collect()
+    assert len(kept) == 2
+
+
 def test_jaccard_turns_leave_nothing_out(spark, monkeypatch):
     rows = near_copies(3, 120)
     monkeypatch.setattr(jaccard, "TURNS", 3)
