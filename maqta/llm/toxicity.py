@@ -129,12 +129,14 @@ _SIGNS = re.compile("[0-9@$!|+(<€£¢*%#&]")
 
 
 def _hints(t: str) -> tuple[bool, bool]:
-    """Whether a text may hold letters set apart, and letters repeated, seen from its bytes alone."""
+    """Whether a text may hold letters set apart, and letters repeated, seen from its bytes, or its letters where bytes do not tell."""
     a = np.frombuffer(t.encode() if t.isascii() else t.encode("latin-1", "replace"), np.uint8)
     if len(a) < 5:
         return False, len(a) > 2
     same = a[1:] == a[:-1]
     repeated = bool((same[1:] & same[:-1] & (a[2:] >= 97)).any())
+    if not repeated and not t.isascii() and max(t) > "ÿ":  # letters that have no byte of their own
+        repeated = REPEATED.search(t) is not None
     sep = _SEPARATOR[a]
     spaced = bool((~sep[:-4] & sep[1:-3] & ~sep[2:-2] & sep[3:-1] & ~sep[4:] & np.concatenate([[True], sep[:-5]])).any())
     return spaced, repeated

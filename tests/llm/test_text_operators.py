@@ -211,6 +211,13 @@ def test_toxicity_held_out(toxic):
     assert read("the house and the garden") == "the house and the garden"
 
 
+def test_letters_repeated_beyond_latin():
+    model = toxicity.CharModel.of(np.ones(toxicity.GRAMS, np.int64))
+    for w in ("дуррррак", "βλάαααακα", "głuuuupi", "żółłłłty"):
+        assert toxicity._hints(f"the {w} went")[1] and toxicity.restore(f"the {w} went", model) != f"the {w} went"
+    assert not toxicity._hints("the дурак went")[1]
+
+
 def test_toxicity_without_labels(spark, toxic):
     d, labels = toxic
     scorer = toxicity.learn(d, labels.limit(0))
