@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,13 +27,16 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and runs in one process, as in tests; on a
+    cluster a session without one is an error, since its machines would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="maqta-")
@@ -69,6 +73,16 @@ def drop_written(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def salted(rows: DataFrame, small: DataFrame, key: str, spread: Column, salts: int = 8, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small`` (a row per ``key``) on ``key``, each key's rows dealt out to ``salts`` tasks by ``spread``.
+
+    Null keys match nothing.  ``small`` is repeated ``salts`` times, so no key, however hot, lands in one task.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -146,32 +160,102 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN + start)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Places in a word that have a table of random numbers; places beyond are scrambled one by one.
+_PLACES = 64
 
 
-def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i <= n; base is odd, so it has an inverse."""
-    if base not in _POWERS or len(_POWERS[base][0]) <= n:
-        size = max(n + 1, 1 << 16)
-        size = 1 << (size - 1).bit_length()
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[base] = (out[0], out[1])
-    return _POWERS[base]
+def place_table(seed: int) -> np.ndarray:
+    """A random 64-bit value for each byte at each of the first places of a word."""
+    return np.concatenate([byte_table(seed + 1000 * (i + 1)) for i in range(_PLACES)])
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums h with h[j] - h[i] = sum of values[k] * base**k over i <= k < j, mod 2**64."""
-    p, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[: len(values)], out=out[1:])
-    return out
-
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans, which do not overlap and come in order, by content alone.
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans, by content alone: equal spans have equal hashes wherever they stand."""
-    _, inverse = powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * inverse[start])
+    Each byte gives a random number that depends on it and on its place in the span; sums of them have none of
+    the structure by which polynomials modulo a power of two collide.  ``values`` is a ``place_table``.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], size)
+    byte = data[place + np.repeat(start, size)]
+    part = values[np.minimum(place, _PLACES - 1) * 256 + byte]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        part[far] = mix64(values[byte[far]] ^ (place[far].astype(np.uint64) * GOLDEN))
+    return mix64(np.add.reduceat(part, first[:-1]) + size.astype(np.uint64) * MIX1)
+
+
+# Hashes of any spans of a text: polynomials modulo the prime 2**61 - 1.
+
+PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x0B5297A4D3F8C6E1 % ((1 << 61) - 1)
+#: Bytes of one text that prefix sums can take in.
+SPAN_BYTES = 1 << 21
+_TABLES: list[np.ndarray] = []
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def multiply61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    mid = (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half)
+    return _reduce(_reduce(np.uint64(2) * a1 * b1 + mid) + _reduce(a0 * b0))
+
+
+def _powers61(n: int) -> list[np.ndarray]:
+    """base**i and base**-i for i <= n."""
+    if not _TABLES or len(_TABLES[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        made = []
+        for base in (_BASE, pow(_BASE, -1, int(PRIME))):
+            p, step = np.ones(1, np.uint64), base
+            while len(p) < size:
+                p = np.concatenate([p, multiply61(p, np.uint64(step))])
+                step = step * step % int(PRIME)
+            made.append(p)
+        _TABLES[:] = made
+    return _TABLES
+
+
+class Spans:
+    """Hashes of spans of a text of ``SPAN_BYTES`` at most: equal for equal spans, wherever they stand."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        if len(data) > SPAN_BYTES:
+            raise ValueError(f"a text of {len(data)} bytes must be hashed in parts")
+        p, wide = _powers61(len(data))[0][: len(data)], data.astype(np.uint64) + np.uint64(1)
+        # Sums of products of a byte with either half of a power do not overflow.
+        self.sums = np.zeros((2, len(data) + 1), np.uint64)
+        np.cumsum(wide * (p & np.uint64((1 << 32) - 1)), out=self.sums[0, 1:])
+        np.cumsum(wide * (p >> np.uint64(32)), out=self.sums[1, 1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = self.sums[0, end] - self.sums[0, start], self.sums[1, end] - self.sums[1, start]
+        total = _reduce(_reduce(low) + multiply61(_reduce(high), np.uint64(1 << 32)))
+        return multiply61(total, _powers61(self.sums.shape[1])[1][start])
+
+
+def roll64(values: np.ndarray, width: int) -> np.ndarray:
+    """Quick 64-bit numbers of all spans of ``width`` values, good enough to deal spans out by: never to take two for equal."""
+    base = int(GOLDEN)
+    out, step, done = values.copy(), base, 1
+    total, held = np.zeros(len(values), np.uint64), 0
+    while True:  # spans of powers of two, put together to ``width``
+        if width & done:
+            n = len(values) - held - done + 1
+            total[:n] = total[:n] * np.uint64(step) + out[held : held + n]
+            held += done
+        if 2 * done > width:
+            return mix64(total[: len(values) - width + 1])
+        out[: len(out) - done] = out[: len(out) - done] * np.uint64(step) + out[done:]
+        out = out[: len(out) - done]
+        step, done = step * step % (1 << 64), 2 * done

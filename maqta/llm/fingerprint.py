@@ -20,16 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import GOLDEN, MIX1, MIX2, byte_table, mix64, partitions, prefix_hash, span_hash, table, tidy
+from maqta.llm.common import GOLDEN, MIX1, MIX2, mix64, partitions, place_table, table, tidy, word_hash
 
 SAMPLES = 96
-#: Small terms for trials of the sampler; a text's terms are 64-bit hashes and are not folded.
-BUCKETS = 1 << 16
 #: Terms that are drawn for at once.
 BLOCK = 512
 SEED = 9
 EMPTY = "0" * (4 * SAMPLES)
-_LETTERS = byte_table(SEED)
+_LETTERS = place_table(SEED)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -104,7 +102,7 @@ def weighted_terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edges[::2], edges[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = span_hash(prefix_hash(_LETTERS[a]), start, end)
+    h = word_hash(a, start, end, _LETTERS)
     return np.unique(h if len(h) == 1 else mix64(h[:-1] * GOLDEN + h[1:]), return_counts=True)
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from maqta.llm import fingerprint, jaccard, suffix
+from maqta.llm import common, fingerprint, jaccard, suffix
 from maqta.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,9 +93,8 @@ def test_jaccard_links_rows_without_ids(spark):
     assert len(kept) == 2
 
 
-def test_jaccard_turns_leave_nothing_out(spark, monkeypatch):
+def test_jaccard_with_one_leader_leaves_nothing_out(spark, monkeypatch):
     rows = near_copies(3, 120)
-    monkeypatch.setattr(jaccard, "TURNS", 3)
     monkeypatch.setattr(jaccard, "LEADERS", 1)
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 1)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -106,6 +105,50 @@ def test_jaccard_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join(b if x else a for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_in_polynomials_are_told_apart(spark, n):
+    words = [thue_morse(n, *p) for p in ("ab", "ba", "xy", "yx")]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(rows).collect()} == {i: i for i in range(4)}
+    assert len({fingerprint.fingerprint(w) for w in words}) == 4
+
+
+def test_hashes_of_spans_follow_their_content():
+    rng = np.random.default_rng(13)
+    data = np.tile(rng.integers(0, 256, 137).astype(np.uint8), 6)
+    start = np.arange(500)
+    for width in (1, 7, 100, 137):
+        h, r = common.Spans(data)(start, start + width), common.roll64(common.byte_table(3)[data], width)
+        assert (h[:363] == h[137:]).all() and (r[:363] == r[137:500]).all()
+        assert len(np.unique(h)) == len({data[i : i + width].tobytes() for i in start})
+    a, b = rng.integers(0, (1 << 61) - 1, (2, 50)).astype(np.uint64)
+    assert common.multiply61(a, b).tolist() == [int(x) * int(y) % ((1 << 61) - 1) for x, y in zip(a, b, strict=True)]
+
+
+def test_block_pairs_are_all_pairs_that_size_and_position_allow(spark):
+    rng, rows = random.Random(14), []
+    for token in range(6):
+        for k in range(40):
+            n = rng.randint(1, 60)
+            rows.append((token, 100 * token + k, n, rng.randrange(jaccard.prefix_length(n)), rng.randint(0, 9)))
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]:
+                (n, p), (m, q) = a[2:4], b[2:4]
+                if 100 * min(n, m) >= 80 * max(n, m) and 180 * min(n - p, m - q) >= 80 * (n + m):
+                    want.add((a[1], b[1]))
+    got = jaccard.block_pairs(spark.createDataFrame(rows, "token long, node long, n int, pos int, label long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -150,7 +193,8 @@ def repeats(rows):
 
 @pytest.mark.parametrize("large", [2000, 3])
 def test_repeated_strings(spark, monkeypatch, large):
-    monkeypatch.setattr(suffix, "LARGE_GROUP", large)
+    monkeypatch.setattr(suffix, "SPLIT", large)
+    monkeypatch.setattr(suffix, "PART", 1 << 20 if large > 3 else 700)
     rng = random.Random(6)
     draw = lambda n: "".join(rng.choice("abcdéß ") for _ in range(n))
     passages, rows = [draw(rng.randint(150, 600)) for _ in range(5)], []
@@ -192,7 +236,7 @@ def test_anchors_do_not_depend_on_place():
 def test_collisions_follow_generalised_jaccard():
     rng, sampler = random.Random(8), fingerprint.Sampler.shared()
     for _ in range(6):
-        terms = rng.sample(range(fingerprint.BUCKETS), 60)
+        terms = rng.sample(range(1 << 16), 60)
         a, b = ({t: rng.randint(1, 4) for t in rng.sample(terms, 45)} for _ in range(2))
         marks = [sampler.signature(np.array(sorted(x)), np.array([x[t] for t in sorted(x)])) for x in (a, b)]
         least = sum(min(a.get(t, 0), b.get(t, 0)) for t in terms)
