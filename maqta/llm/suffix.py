@@ -3,14 +3,19 @@
 A 200-byte string is repeated if it starts at two places or more.  Windows are brought together by
 content first: the least hash among the 100-byte strings inside a window is its anchor, and a run of
 windows with one anchor is a fragment.  Equal windows have equal anchors at equal places, so only
-fragments that share an anchor need to be compared.  A fragment that occurs whole more than
-once is repeated in all its windows.  What is left are anchors with fragments of different content;
-those fragments are the collection.
-
-``collection`` builds its Burrows-Wheeler transform and the lengths of common prefixes by inserting
-one symbol of every fragment a round, last symbols first, each round reading the structures of the
-round before from front to back and writing new ones.  Windows that repeat are neighbours with a
-common prefix of a window's length.  The anchor, which a group's fragments share, is one symbol.
+fragments that share an anchor need to be compared.  Equal fragments are one string with a weight, the
+number of times it stands in the input.
+
+An anchor's strings are a collection.  ``collection`` builds its Burrows-Wheeler transform and the lengths of common
+prefixes by inserting one symbol of every string a round, last symbols first, each round reading the structures of the
+round before from front to back and writing new ones.  Windows that are equal are neighbours with a
+common prefix of a window's length, and they are repeated if their strings weigh two or more together.  The anchor,
+which a collection's strings share, is one symbol; that they do share it is checked byte by byte.  A collection of
+one string needs no order: its windows weigh what it weighs.
+
+An anchor with very many strings is split by the bytes beside it: windows that start up to k bytes before the
+anchor share more than the anchor with their equals, so runs of such windows are told apart by that longer string, down
+to single windows if need be.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import byte_table, drop_written, partitions, pieces, prefix_hash, span_hash, table, text_buffers, tidy, written
+from maqta.llm.common import Spans, byte_table, drop_written, partitions, pieces, roll64, salted, table, text_buffers, tidy, written
 
 WINDOW = 200
 ANCHOR = 100
-#: Fragments in one collection, and fragments of one anchor above which windows are compared one by one.
-COLLECTION = 2000
-LARGE_GROUP = 2000
+#: Strings that are put into one structure, about, and strings of one anchor above which it is split.
+COLLECTION, SPLIT = 2000, 2000
+#: Bytes of a text that are worked on at once.
+PART = 1 << 20
 _BYTES = byte_table(10)
 
 
@@ -39,11 +45,9 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor
     n, span = len(data), window - anchor + 1
     if n < window:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    prefix = prefix_hash(_BYTES[data])
-    at = np.arange(n - anchor + 1)
-    h = span_hash(prefix, at, at + anchor)
+    h = roll64(_BYTES[data], anchor)
     low = np.uint64((1 << 32) - 1)
-    best = (h & ~low) | at.astype(np.uint64)
+    best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while width < span:  # least value of the next ``span`` anchors, by doubling
         step = min(width, span - width)
@@ -59,10 +63,23 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.append(first[1:], len(starts)) - 1
     p0, p1, a, of = starts[first], starts[last], place[first], text[first]
-    whole = span_hash(prefix, p0, p1 + window)
+    whole = Spans(data)(p0, p1 + window)
     return of, p0 - offsets[of], p1 - p0 + 1, a - p0, h[a].astype(np.int64), whole.astype(np.int64)
 
 
+def text_parts(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
+    """(data, offsets, first byte) of texts laid end to end, a text of more than ``PART`` bytes in parts that overlap by a window.
+
+    Where parts meet a fragment ends early; its windows and their anchors stay what they are.
+    """
+    if len(offsets) > 2 or len(data) <= PART + window:
+        yield data, offsets, 0
+        return
+    for lo in range(0, max(1, len(data) - window + 1), PART):
+        part = data[lo : lo + PART + window - 1]
+        yield part, np.array([0, len(part)]), lo
+
+
 FRAGMENT = "anchor long, frag long, row_key long, start long, n_win int, lead int"
 
 
@@ -71,11 +88,11 @@ def fragments(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text", 1 << 20):
-                data, offsets = text_buffers(batch.column(1))
-                of, start, n_win, lead, anchor, frag = anchored(data, offsets)
+            for batch in pieces(whole, "text", PART):
                 keys = batch.column(0).to_numpy()
-                yield pa.record_batch([pa.array(anchor), pa.array(frag), pa.array(keys[of]), pa.array(start), pa.array(n_win.astype(np.int32)), pa.array(lead.astype(np.int32))], names=["anchor", "frag", "row_key", "start", "n_win", "lead"])
+                for data, offsets, base in text_parts(*text_buffers(batch.column(1))):
+                    of, start, n_win, lead, anchor, frag = anchored(data, offsets)
+                    yield pa.record_batch([pa.array(anchor), pa.array(frag), pa.array(keys[of]), pa.array(start + base), pa.array(n_win.astype(np.int32)), pa.array(lead.astype(np.int32))], names=["anchor", "frag", "row_key", "start", "n_win", "lead"])
 
     return docs.select("row_key", "text").mapInArrow(tidy(run), FRAGMENT)
 
@@ -149,8 +166,8 @@ _SYMBOL[_USED] = np.arange(1, len(_USED) + 1)
 _ANCHOR_SYMBOL = 250
 
 
-def repeated_windows(texts: list[bytes], leads: list[int], groups: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> list[np.ndarray]:
-    """For each fragment, which of its windows also stand in another fragment of its group."""
+def repeated_windows(texts: list[bytes], leads: list[int], weights: np.ndarray, groups: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> list[np.ndarray]:
+    """For each of the strings, which have a weight each, which windows stand in strings of their group that weigh two or more."""
     parts = []
     for text, lead in zip(texts, leads, strict=True):
         a = _SYMBOL[np.frombuffer(text, np.uint8)]
@@ -161,24 +178,20 @@ def repeated_windows(texts: list[bytes], leads: list[int], groups: np.ndarray, w
     follow = np.argsort(bwt, kind="stable")  # rank of a suffix to rank of the suffix without its first symbol
     block = np.cumsum(lcp < window - anchor + 1)
     n_win = np.array([len(t) - window + 1 for t in texts])
-    found, owner, place = [], [], []
+    found, owner = [], []
     live, at = np.arange(len(texts)), rank.copy()
     step = 0
     while len(live):
         found.append(block[at[live]])
         owner.append(live)
-        place.append(np.full(len(live), step))
         step += 1
         live = live[n_win[live] > step]
         at[live] = follow[at[live]]
-    found, owner, place = np.concatenate(found), np.concatenate(owner), np.concatenate(place)
-    key = np.stack([found, groups[owner]], axis=1)
-    _, number, counts = np.unique(key, axis=0, return_inverse=True, return_counts=True)
-    again = counts[number.ravel()] > 1
-    out = [np.zeros(w, bool) for w in n_win]
-    for i, p, r in zip(owner[again], place[again], again[again], strict=True):
-        out[i][p] = r
-    return out
+    found, owner = np.concatenate(found), np.concatenate(owner)
+    _, number = np.unique(found * (int(groups.max()) + 1) + groups[owner], return_inverse=True)
+    again = (np.bincount(number, weights=weights[owner]) > 1)[number]
+    by = np.argsort(owner, kind="stable")  # windows come step by step, so those of one string stay in order
+    return np.split(again[by], np.cumsum(n_win)[:-1])
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,49 +201,90 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _resolve(contested: DataFrame) -> DataFrame:
-    """row_key, first, last: repeated windows of the fragments (anchor, row_key, start, n_win, lead, bytes) of each anchor.
+    """anchor, frag, off, lo, hi: runs of repeated windows of the strings (anchor, part, frag, off, lead, n, bytes) of each group (anchor, part).
 
-    Rows come sorted by anchor in each partition; whole groups, of at most ``LARGE_GROUP``, make a collection.
+    Rows come sorted by group in each partition; whole groups make a collection.
     """
 
     def flush(rows: list[tuple]):
-        _, groups = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        keys, firsts, lasts = [], [], []
-        for r, flags in zip(rows, repeated_windows([r[4] for r in rows], [r[3] for r in rows], groups.ravel()), strict=True):
-            if r[5]:
-                for lo, hi in zip(*runs_of(flags), strict=True):
-                    keys.append(r[1])
-                    firsts.append(r[2] + int(lo))
-                    lasts.append(r[2] + int(hi) - 1)
-        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], names=["row_key", "first", "last"])
+        heads = [(r[0], r[1], r[6][r[4] : r[4] + ANCHOR]) for r in rows]  # an anchor's hash alone does not make a group
+        number = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        groups, weights = np.array([number[h] for h in heads]), np.array([r[5] for r in rows])
+        cols: list[list] = [[] for _ in range(5)]
+        for r, flags in zip(rows, repeated_windows([r[6] for r in rows], [r[4] for r in rows], weights, groups), strict=True):
+            for lo, hi in zip(*runs_of(flags), strict=True):
+                for c, v in zip(cols, (r[0], r[2], r[3], r[3] + int(lo), r[3] + int(hi) - 1), strict=True):
+                    c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "frag", "off", "lo", "hi"])
 
     def run(batches):
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if len(rows) >= COLLECTION and rows[-1][0] != row[0]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if len(rows) >= COLLECTION and rows[-1][:2] != row[:2]:
                     yield flush(rows)
                     rows = []
                 rows.append(row)
         if rows:
             yield flush(rows)
 
-    return contested.select("anchor", "row_key", "start", "lead", "bytes", "open").mapInArrow(tidy(run), "row_key long, first long, last long")
+    return contested.select("anchor", "part", "frag", "off", "lead", "n", "bytes").mapInArrow(tidy(run), "anchor long, frag long, off int, lo int, hi int")
+
 
+STRING = "anchor long, part long, frag long, off int, lead int, n long, bytes binary, level int"
 
-def _one_by_one(large: DataFrame) -> DataFrame:
-    """Repeated windows of large groups: windows are counted by content, so a group may be spread over all tasks."""
+
+def _split(large: DataFrame) -> DataFrame:
+    """Strings of large groups cut in two: windows that start more, and less, than half as far before the anchor as they may.
+
+    At level k windows start within 2**-k of the anchor's length of each other, so equal ones share the anchor and
+    what all windows of their half hold beside it, which names the new group.  ``off`` is the string's first window in its fragment.
+    """
 
     def run(batches):
         for batch in batches:
-            for anchor, key, start, lead, text, is_open in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                n = len(text) - WINDOW + 1
-                windows = [hashlib.blake2b(text[i : i + WINDOW], digest_size=16).digest() for i in range(n)]
-                yield pa.record_batch([pa.array([anchor] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array([lead - i for i in range(n)], pa.int32()), pa.array(windows, pa.binary()), pa.array([is_open] * n, pa.bool_())], names=["anchor", "row_key", "first", "lead", "window", "open"])
-
-    rows = large.select("anchor", "row_key", "start", "lead", "bytes", "open").mapInArrow(tidy(run), "anchor long, row_key long, first long, lead int, window binary, open boolean")
-    again = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    return rows.where("open").join(again, "window", "left_semi").select("row_key", "first", F.col("first").alias("last"))
+            out: list[list] = [[] for _ in range(8)]
+            for anchor, frag, off, lead, n, text, level in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                level += 1
+                bounds = [-(-ANCHOR_SPAN * k // (1 << level)) for k in range((1 << level) + 1)]
+                n_win = len(text) - WINDOW + 1
+                for least, above in zip(bounds[:-1], bounds[1:], strict=True):
+                    # Windows whose anchor is at an offset from ``least`` to ``above`` - 1.
+                    lo, hi = max(0, lead - above + 1), min(n_win - 1, lead - least)
+                    if least >= above or lo > hi:
+                        continue
+                    core = text[lead - least : lead + WINDOW - above + 1]
+                    part = int.from_bytes(hashlib.blake2b(core + bytes([level]) + least.to_bytes(2, "little"), digest_size=8).digest(), "little", signed=True)
+                    for c, v in zip(out, (anchor, part, frag, off + lo, lead - lo, n, text[lo : hi + WINDOW], level), strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in STRING.split(", ")])
+
+    return large.select("anchor", "frag", "off", "lead", "n", "bytes", "level").mapInArrow(tidy(run), STRING)
+
+
+#: Offsets that an anchor may have in a window.
+ANCHOR_SPAN = WINDOW - ANCHOR + 1
+
+
+def _small_groups(cut: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Strings in groups of at most ``SPLIT``, or of one content; and the tables to drop afterwards."""
+    done, tables, large = [], [], cut
+    for level in range(ANCHOR_SPAN.bit_length() + 1):
+        sizes = written(large.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SPLIT), "large-groups")
+        tables.append(sizes)
+        if level == ANCHOR_SPAN.bit_length() or not sizes.head(1):
+            done.append(large)
+            break
+        whole = salted(large.withColumn("_at", F.xxhash64("anchor", "part")), sizes.select(F.xxhash64("anchor", "part").alias("_at"), "size"), "_at", F.col("frag"), how="left").drop("_at")
+        done.append(whole.where("size is null").drop("size"))
+        large = written(_split(whole.where("size is not null")), "split-groups")
+        tables.append(large)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, tables
 
 
 def with_key(docs: DataFrame, doc_id: Column | None = None) -> DataFrame:
@@ -250,30 +304,37 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFram
     (row_key, text) of the rows concerned; and the tables to drop when both have been used."""
     spark = docs.sparkSession
     frags = written(fragments(docs), "fragments")
-    per = frags.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("frag").alias("a"), F.max("frag").alias("b"))
-    shared = written(per.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    shared = written(frags.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     _free(spark)
-    again = written(frags.join(shared, "anchor"), "shared-fragments")
+    again = written(salted(frags, shared, "anchor", F.col("row_key")), "shared-fragments")
     drop_written(frags, shared)
     _free(spark)
-    wanted = again.select("row_key").distinct()
-    texts = written(docs.join(wanted, "row_key", "left_semi").select("row_key", "doc_id", "text"), "texts")
+    texts = written(docs.join(again.select("row_key").distinct(), "row_key", "left_semi").select("row_key", "doc_id", "text"), "texts")
+    _free(spark)
+    one = F.min(F.struct("row_key", "start", "n_win", "lead")).alias("x")
+    strings = written(again.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("n"), one).select("anchor", "frag", "n", "x.*"), "strings")
+    varied = written(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "varied-anchors")
+    # Texts are cut into strings where they are, so that only strings travel on.
+    contested = salted(strings, varied, "anchor", F.col("frag"))
+    lists = contested.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "frag", "start", "n_win", "lead", "n")).alias("frags"))
+    piece = "named_struct('anchor', f.anchor, 'frag', f.frag, 'lead', f.lead, 'n', f.n, 'bytes', substring(raw, int(f.start) + 1, f.n_win + %d))" % (WINDOW - 1)
+    cut = texts.dropDuplicates(["row_key"]).join(lists, "row_key").select(F.encode("text", "UTF-8").alias("raw"), "frags")
+    cut = cut.select(F.expr(f"transform(frags, f -> {piece})").alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    nothing = F.lit(0).cast("int")
+    cut = written(cut.select("anchor", F.lit(0).cast("long").alias("part"), "frag", nothing.alias("off"), "lead", "n", "bytes", nothing.alias("level")), "contested")
+    _free(spark)
+    groups, tables = _small_groups(cut)
+    found = _resolve(groups.repartition(partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part")).select("anchor", "frag", "lo", "hi")
+    # A collection of one string: its windows weigh what it weighs.
+    alone = strings.where("n > 1").join(varied, "anchor", "left_anti").select("anchor", "frag", nothing.alias("lo"), (F.col("n_win") - 1).alias("hi"))
+    found = written(found.unionByName(alone), "repeats")
+    drop_written(strings, varied, cut, *tables)
     _free(spark)
-    plain = again.where("not mixed").select("row_key", F.col("start").alias("first"), (F.col("start") + F.col("n_win") - 1).alias("last"))
-    by_content = again.where("mixed").groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "start", "n_win", "lead")).alias("x"))
-    by_content = written(by_content.select("anchor", "frag", "n", "x.*"), "distinct-fragments")
-    often = again.where("mixed").join(by_content.where("n > 1").select("anchor", "frag"), ["anchor", "frag"], "left_semi")
-    often = often.select("row_key", F.col("start").alias("first"), (F.col("start") + F.col("n_win") - 1).alias("last"))
-    sizes = by_content.groupBy("anchor").agg(F.count(F.lit(1)).alias("group_size"))
-    # Texts are cut into fragments where they are, so that only fragments travel on.
-    lists = by_content.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "start", "n_win", "lead", (F.col("n") == 1).alias("open"))).alias("frags"))
-    cut = texts.dropDuplicates(["row_key"]).join(lists, "row_key").select(F.encode("text", "UTF-8").alias("raw"), "row_key", F.explode("frags").alias("f"))
-    cut = cut.select("row_key", "f.*", F.expr("substring(raw, int(f.start) + 1, f.n_win + %d)" % (WINDOW - 1)).alias("bytes"))
-    cut = written(cut.join(sizes, "anchor"), "contested")
-    small = cut.where(F.col("group_size") <= LARGE_GROUP).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    spans = plain.unionByName(often).unionByName(_resolve(small)).unionByName(_one_by_one(cut.where(F.col("group_size") > LARGE_GROUP)))
+    per = found.groupBy("anchor", "frag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).withColumn("_at", F.xxhash64("anchor", "frag"))  # as many as windows, at most
+    hits = salted(again.withColumn("_at", F.xxhash64("anchor", "frag")), per.withColumnRenamed("anchor", "a").withColumnRenamed("frag", "f"), "_at", F.col("row_key")).where("anchor = a and frag = f")
+    spans = hits.select("row_key", "start", F.explode("runs").alias("r")).select("row_key", (F.col("start") + F.col("r.lo")).alias("first"), (F.col("start") + F.col("r.hi")).alias("last"))
     spans = written(spans, "spans")
-    drop_written(again, by_content, cut)
+    drop_written(again, found)
     _free(spark)
     return spans, texts, [spans, texts]
 
