@@ -6,8 +6,9 @@ the source and then by the documents whose prefix sum of sizes, in key order, st
 is left; the one that crosses the budget gives only the words that are still wanted.
 
 A source may hold any share of the rows, so no window ever runs over a source: keys fall into
-``BINS`` ranges, bins are summed first, prefix sums run over bins, and only the one bin in which a
-source's budget ends is sorted.
+``BINS`` ranges, bins are summed first, prefix sums run over bins, and the one bin in which a
+source's budget ends is cut into ``BINS`` finer ones until it has ``SORTED`` rows at most, which are sorted.  Rows that tie in key, id and
+size are put in order by a number of their own in the same way.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maqta.llm.common import WORD, table, written
+from maqta.llm.common import WORD, drop_written, table, written
 
-BINS = 4096
+#: Bins of a level, as a power of two, and levels: a place has 48 bits.
+BITS, LEVELS = 12, 4
+BINS = 1 << BITS
+#: Rows of a source that are sorted at most.
+SORTED = 10_000
 CAP = 3
 #: Characters that count as junk in the quality weight.
 JUNK = "0123456789#$%&*@<>{}[]|\\^~_=+/"
@@ -44,8 +49,14 @@ def keyed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: s
     return {"size": words(F.col(text)), "key": key, "id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "source": F.col(source)}
 
 
-def with_bin(df: DataFrame) -> DataFrame:
-    return df.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int"))
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds place, 48 bits that do not fall as the key grows, and turn, 48 bits that tell rows with equal keys apart.
+
+    The result must be stored before it is read twice, since turn counts rows.
+    """
+    place = F.floor(F.col("key") / (1 + F.col("key")) * float(1 << (BITS * LEVELS))).cast("long")
+    own = F.xxhash64(F.monotonically_increasing_id())
+    return df.withColumn("place", F.least(place, F.lit((1 << (BITS * LEVELS)) - 1))).withColumn("turn", own)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -66,38 +77,68 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return per.select("source", "source_size", F.least(F.col("w") * F.col("level"), (CAP * F.col("source_size")).cast("double")).alias("target"))
 
 
+def _narrow(rows: DataFrame, want: DataFrame, at: str, weight: str, name: str) -> DataFrame:
+    """s, low, high, before, rest: for each source the range of ``at`` (48 bits) in which its weights, summed up, pass ``rest``.
+
+    rows: s, at, weight; want: s, rest, a row per source.  ``before`` is the weight below the range.  Ranges shrink until
+    they hold ``SORTED`` rows or all their rows are at one place.  Sources whose weights do not pass ``rest`` have no row.
+    """
+    whole = 1 << (BITS * LEVELS)
+    state = want.select("s", F.lit(0).cast("long").alias("low"), F.lit(whole).alias("high"), F.lit(0).cast("long").alias("before"), "rest")
+    for level in range(1, LEVELS + 1):
+        step = 1 << (BITS * (LEVELS - level))
+        inside = rows.join(state.withColumnRenamed("s", "s_"), F.col("s").eqNullSafe(F.col("s_")) & (F.col(at) >= F.col("low")) & (F.col(at) < F.col("high")))
+        bins = inside.groupBy("s", "before", "rest", F.floor(F.col(at) / step).cast("long").alias("bin")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+        up_to = F.col("before") + F.sum("w").over(W.partitionBy("s").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+        ends = bins.withColumn("up_to", up_to).where("up_to > rest").groupBy("s", "rest").agg(F.min_by(F.struct("bin", (F.col("up_to") - F.col("w")).alias("before"), "n"), "bin").alias("e"))
+        state = written(ends.select("s", (F.col("e.bin") * step).alias("low"), ((F.col("e.bin") + 1) * step).alias("high"), F.col("e.before").alias("before"), "rest", F.col("e.n").alias("n")), name)
+        if not state.where(F.col("n") > SORTED).head(1):
+            break
+    return state.drop("n")
+
+
 def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """One row per source: target, epochs, and the place in key order at which its budget ends.
 
-    sized: source, id, size, key, bin.
+    sized: source, id, size, key, place, turn, stored.
     """
     t = targets(sized, weights).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
     t = t.withColumn("rest", F.greatest("rest", F.lit(0).cast("long")))
-    t = written(t.coalesce(1), "mix-targets")
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    up_to = F.sum("bin_size").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    bins = bins.withColumn("up_to", up_to).withColumnRenamed("source", "s")
-    ends = bins.join(t, F.col("s").eqNullSafe(F.col("source"))).where("up_to > rest")
-    ends = ends.groupBy("s").agg(F.min_by(F.struct("bin", (F.col("up_to") - F.col("bin_size")).alias("before"), "rest"), "bin").alias("e"))
-    ends = written(ends.select("s", F.col("e.bin").alias("end_bin"), F.col("e.before").alias("end_before"), F.col("e.rest").alias("end_rest")).coalesce(1), "mix-ends")
-    inside = sized.join(ends, sized["source"].eqNullSafe(ends["s"]) & (sized["bin"] == ends["end_bin"]))
-    so_far = F.sum("size").over(W.partitionBy("s").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0))
-    inside = inside.withColumn("so_far", F.col("end_before") + so_far).where("so_far > end_rest")
-    first = inside.groupBy("s").agg(F.min(F.struct("so_far", "key", "id", "size")).alias("x"))
-    first = first.select(F.col("s").alias("s2"), F.col("x.key").alias("end_key"), F.col("x.id").alias("end_id"), F.col("x.size").alias("end_size"), (F.col("x.so_far") - F.col("x.size")).alias("before_end"))
-    out = t.join(ends.select("s", "end_bin"), t["source"].eqNullSafe(ends["s"]), "left").drop("s")
-    out = out.join(first, out["source"].eqNullSafe(first["s2"]), "left").drop("s2")
-    return written(out.withColumnRenamed("source", "plan_source").coalesce(1), "mix-plan")
+    t = written(t, "mix-targets")
+    rows = sized.withColumnRenamed("source", "s")
+    ends = _narrow(rows, t.select(F.col("source").alias("s"), "rest"), "place", "size", "mix-ends")
+    inside = rows.join(ends.withColumnRenamed("s", "s_"), F.col("s").eqNullSafe(F.col("s_")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+    # Rows that tie are one entry here, however many they are.
+    tied = inside.groupBy("s", "before", "rest", "key", "id", "size").agg(F.sum("size").alias("w"))
+    so_far = F.col("before") + F.sum("w").over(W.partitionBy("s").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0))
+    tied = tied.withColumn("so_far", so_far).where("so_far > rest")
+    first = tied.groupBy("s").agg(F.min(F.struct("key", "id", "size", (F.col("rest") - F.col("so_far") + F.col("w")).alias("left"))).alias("x"))
+    # Of the tied rows ``whole`` give all their words and the next in turn gives ``part``.
+    first = first.select("s", F.col("x.key").alias("end_key"), F.col("x.id").alias("end_id"), F.col("x.size").alias("end_size"), F.floor(F.col("x.left") / F.col("x.size")).cast("long").alias("whole"), (F.col("x.left") % F.col("x.size")).alias("part"))
+    first = written(first, "mix-first")
+    same = F.col("s").eqNullSafe(F.col("s_")) & (F.col("key") == F.col("end_key")) & (F.col("id") == F.col("end_id")) & (F.col("size") == F.col("end_size"))
+    twins = rows.join(first.withColumnRenamed("s", "s_"), same).select("s", "whole", "turn", F.shiftrightunsigned("turn", 64 - BITS * LEVELS).alias("at"), F.lit(1).cast("long").alias("one"))
+    twins = written(twins, "mix-twins")
+    last = _narrow(twins, first.select("s", F.col("whole").alias("rest")), "at", "one", "mix-turns")
+    close = twins.join(last.withColumnRenamed("s", "s_"), F.col("s").eqNullSafe(F.col("s_")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
+    number = F.col("before") + F.row_number().over(W.partitionBy("s").orderBy("at", "turn")) - 1
+    close = close.withColumn("number", number).where("number = rest").select("s", F.struct("at", "turn").alias("end_turn"))
+    first = first.drop("whole").join(close.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    out = t.join(first, t["source"].eqNullSafe(first["s"]), "left").drop("s")
+    out = written(out.withColumnRenamed("source", "plan_source"), "mix-plan")
+    drop_written(t, twins)
+    return out
 
 
 def taken(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """df (source, id, size, key, bin, ...) with source_size, target, copies (whole repeats), taken."""
+    """df (source, id, size, key, turn, ...) with source_size, target, epochs (whole repeats), more, taken."""
     out = df.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
     here, end = F.struct("key", "id", "size"), F.struct(F.col("end_key").alias("key"), F.col("end_id").alias("id"), F.col("end_size").alias("size"))
-    early = (F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & (F.col("end_key").isNull() | (here < end))))
-    crossing = (F.col("rest") > 0) & (F.col("bin") == F.col("end_bin")) & (here == end)
-    more = F.when(early, F.col("size")).when(crossing, F.col("rest") - F.col("before_end")).otherwise(0)
+    turn = F.struct(F.shiftrightunsigned("turn", 64 - BITS * LEVELS).alias("at"), "turn")
+    early = F.col("end_key").isNull() | (here < end) | ((here == end) & (turn < F.col("end_turn")))
+    crossing = (here == end) & (turn == F.col("end_turn"))
+    more = F.when(F.col("rest") <= 0, 0).when(early, F.col("size")).when(crossing, F.col("part")).otherwise(0)
     return out.withColumn("more", F.coalesce(more, F.lit(0)).cast("long")).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("more")).cast("long"))
 
 
@@ -105,13 +146,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source).
 
     Null and empty texts have size 0 and are never taken; null is a source of its own, after all
-    others.  A null doc_id draws the key of an empty id.  Rows with one doc_id share their key;
-    where such twins stand at the end of the budget both give the part that is wanted.  An empty
+    others.  A null doc_id draws the key of an empty id.  Rows that tie in key, id and size, as repeated
+    rows do, are taken one by one until the budget is met.  Texts of any length count whole.  An empty
     table gives an empty result.  Columns besides doc_id, text and source are ignored.
     """
     k = keyed(docs)
     sized = docs.select("doc_id", *(v.alias(n) for n, v in k.items()))
-    sized = written(with_bin(sized), "mix-sized")
+    sized = written(with_place(sized), "mix-sized")
     out = taken(sized, mix_plan(sized, weights))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -123,8 +164,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     """
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), *(v.alias(n) for n, v in keyed(docs).items()))
-    sized = written(with_bin(rows.drop("row")), "mix-sized")
-    out = taken(with_bin(rows), mix_plan(sized, weights))
+    sized = written(with_place(rows), "mix-sized")
+    out = taken(sized, mix_plan(sized.drop("row"), weights))
     # A document without words is no part of a mix, however often its source is taken.
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + F.when(F.col("more") * 2 >= F.col("size"), F.sign("more")).otherwise(0))
     out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
