@@ -91,6 +91,35 @@ def test_mixing_is_stable_and_takes_empty_tables(spark, corpus):
     assert whole.columns == corpus.columns and whole.where("text is null").count() == 0
 
 
+@pytest.mark.parametrize("doc_id, n", [(7, 100), (None, 1000)])
+@pytest.mark.parametrize("most", [10_000, 5])
+def test_mixing_meets_targets_where_rows_tie(spark, monkeypatch, doc_id, n, most):
+    monkeypatch.setattr(mixing, "SORTED", most)
+    rows = [(doc_id, "ten words " * 5, "en", "a")] * n + [(i, "w " * 20, "en", "b") for i in range(4 * n)]
+    df = docs(spark, rows).repartition(5)
+    got = mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in got) == 5 * n and all(abs(r["taken"] - r["target"]) <= 1 for r in got)
+    whole = mixing.mixed_documents(df.withColumn("size", F.lit("clash"))).groupBy("source").count().collect()
+    sizes = {"a": 10, "b": 20}
+    targets = {"a": 90 * n / 3, "b": 2 * 90 * n / 3}
+    assert all(abs(r["count"] * sizes[r["source"]] - min(targets[r["source"]], 3 * sizes[r["source"]] * (n if r["source"] == "a" else 4 * n))) <= sizes[r["source"]] for r in whole)
+
+
+def test_hosts_of_urls(spark):
+    urls = {"http://www.A.org/x?y": "a.org", "https://u:p@b.example.com:8080#t": "b.example.com", "ftp://[::1]:21/": "[::1]", "no url": None, "http:///x": None, None: None, "http://c.org.": "c.org"}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", line_dedup.host_of(F.col("u")).alias("h")).collect()
+    assert {r["u"]: r["h"] for r in got} == urls
+
+
+def test_lines_of_pages_go_by_the_ratio_of_their_host_alone(spark):
+    rows = [(i, f"http://{'www.' if i % 2 else ''}Big.org/{i}", f"own {i}\nmenu\n" + ("rare" if i < 2 else f"other {i}")) for i in range(40)]
+    rows += [(100, "http://two.org/a", "menu\nx"), (101, "http://two.org/b", "menu\ny"), (102, "http://one.org/", "menu\nmenu"), (103, None, "menu\nz"), (104, None, "menu")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["html"] for r in line_dedup.dedup_lines(pages, line_dedup.host_of(F.col("url")), "html").collect()}
+    assert got[0] == "own 0\nrare" and got[39] == "own 39\nother 39"  # 2 of 40 pages are not more than 5 in 100
+    assert (got[100], got[101], got[102], got[103], got[104]) == ("x", "y", "menu\nmenu", "z", "")
+
+
 def test_keys_follow_quality(spark):
     rows = [(i, "word word" if i % 2 else "#### 1234", "en", "s") for i in range(2000)]
     k = mixing.keyed(docs(spark, rows))
