@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import drop_written, new_path, partitions, table, tidy, written
+from maqta.llm.common import drop_written, new_path, partitions, salted, table, tidy, written
 
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
@@ -55,18 +55,22 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in bounded pieces."""
-    d = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, in bounded pieces; a member that is cut short is an error."""
+    d, begun = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            begun = True
             out = d.decompress(data, CHUNK)
             if out:
                 yield out
             data = d.unconsumed_tail
             if d.eof:
-                data, d = d.unused_data, zlib.decompressobj(31)
-    if tail := d.flush():
-        yield tail
+                data, d, begun = d.unused_data, zlib.decompressobj(31), False
+    while begun and not d.eof:  # what the last piece left inside
+        out = d.decompress(d.unconsumed_tail, CHUNK)
+        if not out:
+            raise WarcError("the archive ends inside a gzip member")
+        yield out
 
 
 def split_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -90,7 +94,10 @@ def split_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
                     raise WarcError("the archive ends inside a record head")
                 return
         fields = parse_head(bytes(held[:end]))
-        size = end + 4 + int(fields["content-length"]) + 4
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise WarcError(f"bad Content-Length {length!r}")
+        size = end + 4 + int(length) + 4
         while len(held) < size:
             if not fill():
                 raise WarcError("the archive ends inside a record")
@@ -131,8 +138,9 @@ def with_records(pages: DataFrame, page_id: str = "page_id", html: Column | None
     base = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
     base = base.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.length("payload").cast("long"))
     groups = base.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1").select(F.col("payload_digest").alias("d"), "first_id")
-    base = base.join(groups, F.col("payload_digest") == F.col("d"), "left").drop("d")
+    # Stored, so that a small table of groups meets the payloads where they are; a large one meets each group in eight tasks.
+    groups = written(groups.where("n > 1").select("payload_digest", "first_id"), "warc-groups")
+    base = salted(base, groups, "payload_digest", F.monotonically_increasing_id(), how="left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return base.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
@@ -211,7 +219,7 @@ READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest stri
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """One row per record of normalised archives; responses' digest and size come from the payload read.
+    """One row per record of normalised archives; responses' digest and size come from the payload read, revisits' from their heads.
 
     A response whose payload does not have the digest of its header is an error.
     """
@@ -243,6 +251,20 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     return _by_archive(manifest).select("path", "index_path").mapInArrow(tidy(run), READ_SCHEMA)
 
 
+def with_originals(read: DataFrame) -> DataFrame:
+    """``read`` with the digest and size of revisits taken from the response that they refer to, which must be the ones they state."""
+    read = written(read, "warc-read")
+    revisits = read.where("record_type = 'revisit'")
+    originals = read.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("digest"))
+    wanted = revisits.select("refers_to").distinct()
+    originals = written(originals.join(wanted, "refers_to", "left_semi").dropDuplicates(["refers_to", "digest"]), "warc-originals")
+    found = salted(revisits.withColumn("_to", F.struct("refers_to", "payload_digest")), originals.withColumn("_to", F.struct("refers_to", F.col("digest").alias("payload_digest"))).drop("refers_to"), "_to", F.monotonically_increasing_id(), how="left").drop("_to")
+    wrong = F.raise_error(F.concat(F.lit("no response has the payload of the revisit of page "), F.col("page_id").cast("string")))
+    same = F.col("size").eqNullSafe(F.col("payload_bytes"))
+    found = found.withColumn("payload_bytes", F.when(same, F.col("size")).otherwise(wrong.cast("long"))).withColumn("payload_digest", F.col("digest"))
+    return read.where("record_type <> 'revisit'").unionByName(found.select(*read.columns))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -254,11 +276,12 @@ def warc_round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
 
     Null html is an empty payload; null urls are empty.  Of equal payloads of ``LEAST_REVISIT``
     bytes or more, rows with the smallest page_id (all of them, if it repeats) are responses and
-    the rest revisits.  An empty table gives no archive and an empty result.
+    the rest revisits, whose digest and size are those of the response read back.  Payloads of any length are stored whole.
+    An empty table gives no archive and an empty result.  Columns besides page_id, url and html are ignored.
     """
     folder = new_path(pages.sparkSession, "warc")
     whole = write_archives(with_records(pages), folder)
-    return read_archives(normalise(whole, folder), folder, payloads)
+    return with_originals(read_archives(normalise(whole, folder), folder, payloads))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
