@@ -2,7 +2,7 @@
 
 The reader walks the chain of image directories in either byte order, takes strips or tiles,
 decodes none, PackBits, LZW or deflate, undoes the horizontal predictor, and gives each page's
-samples row by row.  The writer makes 8-bit grey pages of strips.
+samples row by row.  The writer makes 8-bit grey pages of strips or tiles.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ class Page:
     samples: bytes
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, most: int) -> bytes:
+    """The first ``most`` bytes, as with all decoders here."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         c = data[i]
         i += 1
         if c < 128:
@@ -54,7 +55,7 @@ def unpackbits(data: bytes) -> bytes:
         elif c > 128:
             out += data[i : i + 1] * (257 - c)
             i += 1
-    return bytes(out)
+    return bytes(out[:most])
 
 
 def packbits(data: bytes) -> bytes:
@@ -76,7 +77,7 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, most: int) -> bytes:
     """TIFF's LZW: codes of 9 to 12 bits, most significant bit first, widened one code early."""
     clear, end = 256, 257
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
@@ -88,12 +89,14 @@ def unlzw(data: bytes) -> bytes:
             bits -= width
             code = (held >> bits) & ((1 << width) - 1)
             held &= (1 << bits) - 1
-            if code == end:
-                return bytes(out)
+            if code == end or len(out) >= most:
+                return bytes(out[:most])
             if code == clear:
                 words, width, old = list(first), 9, None
                 continue
             if old is None:
+                if code > 255:
+                    raise TiffError("LZW code out of range")
                 word = words[code]
             else:
                 if code > len(words):
@@ -103,7 +106,7 @@ def unlzw(data: bytes) -> bytes:
                 width = 9 if len(words) < 511 else 10 if len(words) < 1023 else 11 if len(words) < 2047 else 12
             out += word
             old = word
-    return bytes(out)
+    return bytes(out[:most])
 
 
 def lzw(data: bytes) -> bytes:
@@ -146,30 +149,50 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODE = {NONE: bytes, PACKBITS: unpackbits, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def undeflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most) if most else b""
+
+
+DECODE = {NONE: lambda b, most: b[:most], PACKBITS: unpackbits, LZW: unlzw, DEFLATE: undeflate, OLD_DEFLATE: undeflate}
+#: Bytes of samples that a page may have.
+MOST_SAMPLES = 1 << 30
 ENCODE = {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
-def encode_tiff(payload: bytes, width: int = WIDTH, compression: int = DEFLATE, predictor: int = 2, strip_rows: int = STRIP_ROWS, page_rows: int = PAGE_ROWS) -> bytes:
-    """A little-endian grey TIFF of ``payload`` (a positive multiple of ``width``), a page per ``page_rows`` rows."""
+def encode_tiff(payload: bytes, width: int = WIDTH, compression: int | tuple[int, ...] = DEFLATE, predictor: int = 2, strip_rows: int = STRIP_ROWS, page_rows: int = PAGE_ROWS, tile: int | None = None) -> bytes:
+    """A little-endian grey TIFF of ``payload`` (a positive multiple of ``width``), a page per ``page_rows`` rows.
+
+    ``tile``: pages are square tiles of that side (16 or a multiple), filled up with 0, in place of strips.  Several
+    compressions take turns page by page.
+    """
     if not payload or len(payload) % width:
         raise TiffError(f"the payload must be a positive multiple of {width} bytes")
+    kinds = compression if isinstance(compression, tuple) else (compression,)
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for top in range(0, len(rows), page_rows):
-        page = rows[top : top + page_rows]
+    for number, top in enumerate(range(0, len(rows), page_rows)):
+        page, kind = rows[top : top + page_rows], kinds[number % len(kinds)]
+        if tile:
+            high, across = -(-len(page) // tile), -(-width // tile)
+            full = np.zeros((high * tile, across * tile), np.uint8)
+            full[: len(page), :width] = page
+            blocks = list(full.reshape(high, tile, across, tile).transpose(0, 2, 1, 3).reshape(-1, tile, tile))
+        else:
+            blocks = [page[i : i + strip_rows] for i in range(0, len(page), strip_rows)]
         if predictor == 2:
-            page = np.concatenate([page[:, :1], np.diff(page, axis=1)], axis=1)
-        strips = [ENCODE[compression](page[i : i + strip_rows].tobytes()) for i in range(0, len(page), strip_rows)]
-        places = []
-        for s in strips:
+            blocks = [np.concatenate([b[:, :1], np.diff(b, axis=1)], axis=1) for b in blocks]
+        parts, places = [ENCODE[kind](b.tobytes()) for b in blocks], []
+        for s in parts:
             places.append(len(out))
             out += s + b"\0" * (len(s) & 1)
-        n, arrays = len(strips), len(out)
+        n, arrays = len(parts), len(out)
         if n > 1:
-            out += struct.pack(f"<{2 * n}I", *places, *map(len, strips))
-        first, second = (arrays, arrays + 4 * n) if n > 1 else (places[0], len(strips[0]))
-        tags = [(254, 4, 1, 2 if len(rows) > page_rows else 0), (256, 4, 1, width), (257, 4, 1, len(page)), (258, 3, 1, 8), (259, 3, 1, compression), (262, 3, 1, 1), (273, 4, n, first), (277, 3, 1, 1), (278, 4, 1, strip_rows), (279, 4, n, second), (317, 3, 1, predictor)]
+            out += struct.pack(f"<{2 * n}I", *places, *map(len, parts))
+        first, second = (arrays, arrays + 4 * n) if n > 1 else (places[0], len(parts[0]))
+        tags = [(254, 4, 1, 2 if len(rows) > page_rows else 0), (256, 4, 1, width), (257, 4, 1, len(page)), (258, 3, 1, 8), (259, 3, 1, kind), (262, 3, 1, 1)]
+        tags += [] if tile else [(273, 4, n, first)]
+        tags += [(277, 3, 1, 1)] + ([] if tile else [(278, 4, 1, strip_rows), (279, 4, n, second)]) + [(317, 3, 1, predictor)]
+        tags += [(322, 4, 1, tile), (323, 4, 1, tile), (324, 4, n, first), (325, 4, n, second)] if tile else []
         struct.pack_into("<I", out, link, len(out))
         out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
         link = len(out)
@@ -211,12 +234,26 @@ def _page(data: bytes, tags: dict[int, tuple], number: int, order: str) -> Page:
     tiled = 322 in tags
     w, h = (tags[322][0], tags[323][0]) if tiled else (width, min(one(278, height), height))
     places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across = -(-width // w)
+    if min(width, height, per, w, h) < 1 or per > 16:
+        raise TiffError(f"bad size: {width} x {height} of {per} samples in parts of {w} x {h}")
+    across, down = -(-width // w), -(-height // h)
+    if width * height * per > MOST_SAMPLES or w * h * per > MOST_SAMPLES:
+        raise TiffError(f"a page of {width} x {height} is more than {MOST_SAMPLES} samples")
+    if len(places) != across * down or len(sizes) != across * down:
+        raise TiffError(f"{len(places)} parts where {across * down} are due")
+    # No code of these compressions stands for more than some thousand bytes, so a file cannot be asked for much more than it holds.
+    if sum(sizes) > len(data) * len(sizes) or width * height * per > 4096 * (sum(min(s, len(data)) for s in sizes) + len(sizes)):
+        raise TiffError(f"{width} x {height} samples cannot stand in {len(data)} bytes")
     out = np.zeros((height, width * per), np.uint8)
     for i, (p, s) in enumerate(zip(places, sizes, strict=True)):
+        if p + s > len(data):
+            raise TiffError("a part lies outside the file")
         top, left = i // across * h, i % across * w
         rows = h if tiled else min(h, height - top)
-        block = np.frombuffer(DECODE[compression](data[p : p + s]), np.uint8)[: rows * w * per].reshape(rows, w, per)
+        block = np.frombuffer(DECODE[compression](data[p : p + s], rows * w * per), np.uint8)
+        if len(block) < rows * w * per:
+            raise TiffError("a part is cut short")
+        block = block.reshape(rows, w, per)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
         part = block.reshape(rows, w * per)[: height - top, : (width - left) * per]
@@ -227,8 +264,8 @@ def _page(data: bytes, tags: dict[int, tuple], number: int, order: str) -> Page:
 def tiff_pages(df: DataFrame, content: str, key: str) -> DataFrame:
     """One row per page: key, page, width, height, samples_per_pixel, compression, samples, error.
 
-    Null content gives no row; bytes that are no known TIFF give one row with ``error``; the
-    others' ``error`` is null.
+    Null content gives no row; bytes that are no known TIFF, or whose pages are larger than the file can hold, give one row with
+    ``error``; the others' ``error`` is null.  Keys may repeat; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -241,7 +278,7 @@ def tiff_pages(df: DataFrame, content: str, key: str) -> DataFrame:
                     continue
                 try:
                     rows = [(p.number, p.width, p.height, p.samples_per_pixel, p.compression, p.samples, None) for p in read_pages(data)]
-                except (TiffError, struct.error, zlib.error, ValueError, KeyError, IndexError) as e:
+                except (struct.error, zlib.error, ValueError, ArithmeticError, LookupError, TypeError, MemoryError) as e:
                     rows = [(None,) * 6 + (f"{type(e).__name__}: {e}",)]
                 for row in rows:
                     for c, v in zip(cols, (k.as_py(), *row), strict=True):
@@ -274,10 +311,23 @@ def feature(samples: bytes) -> str:
 MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+#: Compressions in the order in which a file's pages take turns; a payload's checksum says which comes first.
+KINDS = (DEFLATE, PACKBITS, LZW)
+TILE = 32
+
+
+def store(payload: bytes) -> bytes:
+    """A payload as a TIFF: strips or tiles and the first page's compression by its checksum, so equal payloads give equal files."""
+    turn = zlib.crc32(payload)
+    kinds = tuple(KINDS[(turn + k) % len(KINDS)] for k in range(len(KINDS)))
+    return encode_tiff(payload, compression=kinds, tile=TILE if turn // len(KINDS) % 2 else None)
+
+
 def text_media(docs: DataFrame) -> DataFrame:
     """Stores every text (null: empty) as a TIFF, reads the file back page by page, and describes what it read.
 
-    Every row of ``docs`` (doc_id, text) gives one row; equal texts give equal values.
+    Every row of ``docs`` (doc_id, text) gives one row, repeated ones too; equal texts give equal values.  A long text has a page for each
+    ``PAGE_ROWS`` rows.  An empty table gives an empty result; columns besides doc_id and text are ignored.
     """
 
     def run(batches):
@@ -286,7 +336,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 rows = []
                 for text in batch.column(1):
                     raw = (text.as_py() or "").encode()
-                    media = encode_tiff(padded(raw))
+                    media = store(padded(raw))
                     back = b"".join(p.samples for p in read_pages(media))
                     rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -50,6 +50,29 @@ def test_broken_archives_are_errors(cut):
         list(warc.split_records(iter([record[:cut]])))
 
 
+@pytest.mark.parametrize("length", ["", "x", "-4", "²"])
+def test_bad_content_lengths_are_errors(length):
+    with pytest.raises(warc.WarcError):
+        list(warc.split_records(iter([f"WARC/1.1\r\nContent-Length: {length}\r\n\r\nabcd\r\n\r\n".encode()])))
+
+
+def test_archives_cut_after_a_whole_record_are_errors():
+    records = b"".join(warc.warc_record("response", str(i), "u", random.Random(i).randbytes(5000), "d", 5000) for i in range(3))
+    data = gzip.compress(records)
+    with pytest.raises(warc.WarcError):
+        list(warc.inflate(io.BytesIO(data[:-9])))
+    assert b"".join(warc.inflate(io.BytesIO(data))) == records
+
+
+def test_revisits_are_held_against_their_response(spark):
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    good = [(1, "", 200, "aa", "response", None, None), (2, "", 200, "aa", "revisit", 1, None), (3, "", 200, "aa", "revisit", 1, None)]
+    assert warc.with_originals(spark.createDataFrame(good, schema)).count() == 3
+    for bad in [(4, "", 200, "bb", "revisit", 1, None), (4, "", 201, "aa", "revisit", 1, None), (4, "", 200, "aa", "revisit", 9, None)]:
+        with pytest.raises(Exception, match="no response has the payload"):
+            warc.with_originals(spark.createDataFrame([*good, bad], schema)).collect()
+
+
 def test_several_gzip_members_are_one_stream():
     data = gzip.compress(b"ab") + gzip.compress(b"cd" * 2_000_000)
     assert b"".join(warc.inflate(io.BytesIO(data))) == b"ab" + b"cd" * 2_000_000
@@ -66,11 +89,23 @@ def test_tiff_round_trip(compression, predictor):
         assert b"".join(p.samples for p in found) == payload and len(found) == -(-n // 64 // 300)
 
 
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_tiles_and_compressions_by_turns(predictor):
+    rng = random.Random(predictor)
+    for n in (1, 5, 40, 700):
+        payload = b"".join(rng.choice([rng.randbytes(64), b"a" * 64, b"ab" * 32]) for _ in range(n))
+        data = tiff.encode_tiff(payload, compression=tiff.KINDS, predictor=predictor, page_rows=100, tile=32)
+        found = list(tiff.read_pages(data))
+        assert b"".join(p.samples for p in found) == payload
+        assert [p.compression for p in found] == [tiff.KINDS[k % 3] for k in range(-(-n // 100))]
+
+
 def test_codecs_round_trip():
     rng = random.Random(3)
     for n in (0, 1, 2, 127, 128, 129, 300, 20_000):
         for data in (rng.randbytes(n), b"x" * n, bytes(rng.choice(b"abc") for _ in range(n))):
-            assert tiff.unpackbits(tiff.packbits(data)) == data and tiff.unlzw(tiff.lzw(data)) == data
+            assert tiff.unpackbits(tiff.packbits(data), n) == data and tiff.unlzw(tiff.lzw(data), n) == data
+            assert tiff.unpackbits(tiff.packbits(data), n // 2) == data[: n // 2] == tiff.unlzw(tiff.lzw(data), n // 2)
 
 
 def test_tiles_and_big_endian():
@@ -103,6 +138,61 @@ def test_pages_table(spark):
     assert {r["key"] for r in rows if r["error"]} == {3, 4}
 
 
+def tiff_of(*tags, body=b""):
+    """A little-endian TIFF of one image directory, ``body`` standing behind the header."""
+    import struct
+
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0\0\0\0"
+
+
+def test_bad_files_give_error_rows_and_no_memory(spark):
+    strip = [(258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 2)]
+    bad = {
+        "no width": tiff_of((257, 4, 1, 4), *strip, body=b"ab"),
+        "tile of width 0": tiff_of((256, 4, 1, 4), (257, 4, 1, 4), (258, 3, 1, 8), (322, 4, 1, 0), (323, 4, 1, 16), (324, 4, 1, 8), (325, 4, 1, 2), body=b"ab"),
+        "too large": tiff_of((256, 4, 1, 2_000_000_000), (257, 4, 1, 2_000_000), *strip, body=b"ab"),
+        "large for its file": tiff_of((256, 4, 1, 30_000), (257, 4, 1, 30_000), *strip, body=b"ab"),
+        "strip outside": tiff_of((256, 4, 1, 1), (257, 4, 1, 2), (258, 3, 1, 8), (273, 4, 1, 8000), (279, 4, 1, 2), body=b"ab"),
+        "strip too short": tiff_of((256, 4, 1, 3), (257, 4, 1, 1), *strip, body=b"ab"),
+        "chain": tiff_of(*strip)[:-4] + b"\x08\0\0\0",
+        "lzw": tiff_of((256, 4, 1, 2), (257, 4, 1, 1), (259, 3, 1, 5), *strip, body=b"\xff\xff"),
+    }
+    good = tiff_of((256, 4, 1, 1), (257, 4, 1, 2), *strip, body=b"ab")
+    rows = tiff.tiff_pages(spark.createDataFrame([*bad.items(), ("good", good)], "k string, content binary"), "content", "k").collect()
+    assert {r["key"] for r in rows if r["error"]} == set(bad) and len(rows) == len(bad) + 1
+    assert [bytes(r["samples"]) for r in rows if r["error"] is None] == [b"ab"]
+
+
+def brute_feature(samples):
+    import math
+
+    n = len(samples)
+    mean = sum(samples) / n
+    count = {v: samples.count(v) for v in set(samples)}
+    entropy = -sum(c / n * math.log2(c / n) for c in count.values())
+    steps = [abs(a - b) for a, b in zip(samples, samples[1:])]
+    bins = [sum(c for v, c in count.items() if v // 16 == k) for k in range(16)]
+    head = (mean, math.sqrt(sum((x - mean) ** 2 for x in samples) / n), entropy, sum(steps) / len(steps))
+    return ";".join(f"{x + 0.0:.4f}" for x in head) + ";" + "".join(f"{-(-255 * b // n):02x}" for b in bins)
+
+
+def test_text_media_features_and_files(spark):
+    rng = random.Random(5)
+    texts = ["", "a", "héllo wörld " * 9] + ["".join(rng.choice("abc déß\n") for _ in range(rng.randint(1, 900))) for _ in range(25)]
+    rows = tiff.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kinds, layouts = set(), set()
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        media = tiff.store(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert [float(x) for x in r["feature"].split(";")[:4]] == pytest.approx([float(x) for x in brute_feature(payload).split(";")[:4]], abs=2e-4)
+        assert r["feature"].split(";")[4] == brute_feature(payload).split(";")[4]
+        kinds |= {p.compression for p in tiff.read_pages(media)}
+        layouts.add(b"\x42\x01" in media)  # the tag of a tile's width
+    assert kinds == set(tiff.KINDS) and layouts == {True, False}
+
+
 def test_text_media(spark):
     texts = {1: "abc", 2: None, 3: "", 4: "é" * 64, 5: "long " * 300_000, 6: "abc", 7: "x" * 64}
     got = {r["doc_id"]: r for r in tiff.text_media(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
