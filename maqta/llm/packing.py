@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, by hierarchical residual packing.
 
 Each partition packs its items best-fit in decreasing order and emits the bins that are nearly
-full.  Underfull bins are items of the next round, which has fewer partitions (a tree merge), until
-one task's bounded share of bins is left in each partition; the last round emits all bins.
+full.  Underfull bins are items of the next round, which has fewer partitions (a tree merge), down to one or to as
+many as hold ``TASK_ITEMS`` bins each; the last round emits all bins.  Partitions follow from the number of pieces alone.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ END_ID = 0
 #: Spare places in a bin that counts as nearly full.
 SPARE = 8
 #: Items that one task packs at once, and partitions that one partition of the next round takes in.
-TASK_ITEMS = 40_000
+TASK_ITEMS = 20_000
 FAN_IN = 4
 #: Runs that an encoder knows at most, and keeps from task to task: those it saw first, which are the frequent ones.
 CACHE, KEPT = 600_000, 100_000
@@ -131,7 +131,8 @@ def public_path() -> str:
 def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids: each text's ids with ``END_ID`` after them, cut at ``capacity``.
 
-    Null texts are empty: one piece of one id.  Every row gives its own pieces, repeated ids too.
+    Null texts are empty: one piece of one id.  Every row gives its own pieces, repeated ids too.  Texts of any length are
+    encoded whole.  An empty table gives none.  Columns besides doc_id and text are ignored.
     """
 
     def run(batches):
@@ -219,15 +220,16 @@ def _round(df: DataFrame, capacity: int, last: bool, level: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITEMS) -> DataFrame:
     """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset; an empty table gives none.
 
-    No piece is longer than ``capacity``.  Pieces of full length are sequences of their own.
+    No piece is longer than ``capacity``.  Pieces of full length are sequences of their own.  Of bins that fit a piece
+    equally well the one that got so little room last is taken.
     """
     lone = F.monotonically_increasing_id()
     rows = written(pieces.select(*PIECE, lone.alias("bin"), F.lit(0).cast("long").alias("offset")), "pack-pieces")
     done, total = [rows.where(F.col("length") >= capacity).withColumn("bin", F.col("bin") + F.lit(1 << 55)).select(*PIECE, F.col("bin").alias("sequence_id"), "offset")], rows.count()
-    left, n_bins, level = rows.where(F.col("length") < capacity), total, 1
-    n = max(1, -(-total // task_items), min(pieces.sparkSession.sparkContext.defaultParallelism, total // 5000))
+    left, level = rows.where(F.col("length") < capacity), 1
+    n, last = max(1, -(-total // task_items)), False
     while True:
-        last = n == 1 or level > 6
+        last = last or n == 1
         # Bins are dealt out by a hash of their number, so every partition sees the same mix of sizes.
         dealt = left.repartition(n, F.xxhash64("bin", F.lit(level)))
         packed = written(_round(dealt, capacity, last, level), f"pack-{level}")
@@ -239,8 +241,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITE
         if now == 0:
             break
         fewer = max(1, -(-now // task_items), n // FAN_IN)
-        level = 7 if fewer >= n or now > 0.9 * n_bins else level + 1  # merging on would change nothing: one more round ends it
-        n, n_bins = min(n, fewer), now
+        last = fewer >= n  # so many bins are left that no partition can take in another
+        level, n = level + 1, min(n, fewer)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
