@@ -53,7 +53,6 @@ READ_AS, DROP_MARK, DROP_REPEAT, DROP_BLANK = -0.7, -0.7, -0.3, -0.4
 #: Dropping a sign that may stand for a letter costs more.
 DROP_SIGN = -4.0
 KEEP_DIGIT, KEEP_BLANK = -3.0, -2.5
-BEAM = 48
 
 
 @dataclass
@@ -87,8 +86,6 @@ class CharModel:
                         s, x, y = s + float(logp[x, y, z]), y, z
                     if (x, y) not in nxt or nxt[x, y][0] < s:
                         nxt[x, y] = (s, text + piece)
-            if len(nxt) > BEAM:
-                nxt = dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:BEAM])
             beam = nxt
         return max(beam.values())[1].strip()
 
@@ -304,7 +301,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, score, predicted of every row; null texts are empty and get the score of a text without features."""
+    """doc_id, score, predicted of every row; null texts are empty and get the score of a text without features.
+
+    Texts of any length are scored whole.  Repeated rows get equal scores, each its own row; a score of just ``THRESHOLD`` counts
+    as toxic.  An empty table gives an empty result; columns besides doc_id and text are ignored.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # GRAMS floats and at most FEATURES weights
 
     def run(batches):
