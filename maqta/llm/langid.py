@@ -1,7 +1,7 @@
 """Language ID by hyperdimensional profiles.
 
-Each letter class has a random vector of +1 and -1.  A trigram's vector binds (multiplies) those
-of its letters after permuting (rotating) the first twice and the second once.  A document's
+Each letter, known by its code point, has a random vector of +1 and -1, as have the places between words.  A trigram's vector
+binds (multiplies) those of its letters after permuting (rotating) the first twice and the second once.  A document's
 vector bundles (sums) its trigram vectors; a language's prototype bundles the unit vectors of
 labelled documents.  The prediction is the prototype of greatest cosine.
 """
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import table, tidy
-from maqta.llm.letters import CLASSES, GRAMS, trigrams
+from maqta.llm.common import GOLDEN, mix64, table, tidy
+from maqta.llm.letters import letters
 
 DIMENSIONS = 512
 SEED = 5
@@ -24,46 +24,44 @@ SEED = 5
 SAMPLE = 16384
 UNKNOWN = "und"
 
-_VECTORS: np.ndarray | None = None
+#: Trigrams whose vectors are made at once.
+BLOCK = 1024
 
 
-def gram_vectors() -> np.ndarray:
-    """The vector of every trigram, as int8; the same on every machine."""
-    global _VECTORS
-    if _VECTORS is None:
-        base = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (CLASSES, DIMENSIONS)).astype(np.int8) * 2 - 1
-        first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-        out = np.empty((GRAMS, DIMENSIONS), np.int8)
-        for a in range(CLASSES):
-            pair = (first[a] * second)[:, None, :] * base[None, :, :]
-            out[a * CLASSES**2 : (a + 1) * CLASSES**2] = pair.reshape(-1, DIMENSIONS)
-        _VECTORS = out
-    return _VECTORS
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The vectors of code points (0: between words), from the code points alone, the same on every machine."""
+    blocks = np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) * GOLDEN + np.uint64(SEED << 40)
+    drawn = mix64(mix64(points.astype(np.uint64) + np.uint64(1))[:, None] ^ blocks)
+    bits = np.unpackbits(drawn.astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1)
+    return bits.astype(np.int8) * 2 - 1
 
 
-def forget_vectors() -> None:
-    """Drops the vectors, which are made anew in a tenth of a second: idle workers should not hold them."""
-    global _VECTORS
-    _VECTORS = None
+def bundle(text: str) -> np.ndarray | None:
+    """Sum of the vectors of a text's trigrams, whole numbers; none without letters."""
+    points = letters(text)
+    if len(points) < 3:
+        return None
+    alphabet, x = np.unique(points, return_inverse=True)
+    n, v = len(alphabet), letter_vectors(alphabet)
+    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
+    grams, counts = np.unique((x[:-2] * n + x[1:-1]) * n + x[2:], return_counts=True)
+    out = np.zeros(DIMENSIONS)
+    for lo in range(0, len(grams), BLOCK):
+        g = grams[lo : lo + BLOCK]
+        bound = first[g // (n * n)]
+        bound *= second[g // n % n]
+        bound *= v[g % n]
+        part = counts[lo : lo + BLOCK]
+        wide = np.float32 if part.sum() < 1 << 24 else np.float64  # sums stay exact
+        out += part.astype(wide) @ bound.astype(wide)
+    return out
 
 
 def profile(text: str | None) -> np.ndarray | None:
     """Unit vector of a text; none without letters."""
-    if not text:
-        return None
-    grams = trigrams(text)
-    if len(grams) > 1 << 15:
-        counts = np.bincount(grams, minlength=GRAMS)
-        ids = np.flatnonzero(counts)
-        counts = counts[ids]
-    else:
-        ids, counts = np.unique(grams, return_counts=True)
-    if not len(ids):
+    out = bundle(text) if text else None
+    if out is None:
         return None
-    out = np.zeros(DIMENSIONS, np.float64)
-    for lo in range(0, len(ids), 4096):
-        part = gram_vectors()[ids[lo : lo + 4096]].astype(np.float32)
-        out += counts[lo : lo + 4096].astype(np.float32) @ part
     norm = np.linalg.norm(out)
     return out / norm if norm else out
 
@@ -103,7 +101,6 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Prototypes:
                 if v is not None:
                     k = lang.as_py()
                     sums[k] = sums[k] + v if k in sums else v
-        forget_vectors()
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "total"])
 
     def merge(group: pa.Table) -> pa.Table:
@@ -119,7 +116,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Prototypes:
 def predict(docs: DataFrame, prototypes: Prototypes, keep: bool = False) -> DataFrame:
     """lang_pred and score of every row; with ``keep`` all columns of ``docs`` come first, else doc_id alone.
 
-    Null and letterless texts are ``und`` with score 0.
+    Null and letterless texts are ``und`` with score 0.  Texts of any length are read whole.  Repeated rows get equal answers, each
+    its own row; of prototypes with equal cosines the first by name is taken.  An empty table gives an empty result.
     """
     names = [n for n in docs.columns if n not in ("lang_pred", "score")] if keep else ["doc_id"]
     rows = docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").alias("_text_in"))
@@ -130,7 +128,6 @@ def predict(docs: DataFrame, prototypes: Prototypes, keep: bool = False) -> Data
             found = [known.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
-        forget_vectors()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")

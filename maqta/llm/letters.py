@@ -1,4 +1,4 @@
-"""Letters as small classes, and letter trigrams as integers: shared by language ID and toxicity."""
+"""Letters of texts as code points, for language ID, and as small classes with trigrams as integers, for toxicity."""
 
 from __future__ import annotations
 
@@ -26,6 +26,15 @@ def class_table() -> np.ndarray:
     return _TABLE
 
 
+def letters(text: str) -> np.ndarray:
+    """Code points of the lower-cased text's letters, runs of anything else as one 0, with a 0 at both ends; empty without a letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    c = np.where(class_table()[np.minimum(points, TOP)] != 0, points, 0)
+    c = np.concatenate([[0], c, [0]])
+    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+    return c if len(c) > 1 else c[:0]
+
+
 def classes(text: str) -> np.ndarray:
     """Classes of the lower-cased text, runs of non-letters as one 0, with a 0 at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)

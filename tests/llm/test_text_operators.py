@@ -46,12 +46,35 @@ def test_language_id_odd_rows(spark, corpus):
     assert langid.predict(long, model).first()["lang_pred"] == "en"
 
 
-def test_a_profile_binds_permuted_letters():
-    v = langid.gram_vectors()
-    rng = np.random.Generator(np.random.PCG64(langid.SEED))
-    base = rng.integers(0, 2, (langid.CLASSES, langid.DIMENSIONS)).astype(int) * 2 - 1
-    a, b, c = 3, 17, 40
-    assert (v[(a * langid.CLASSES + b) * langid.CLASSES + c] == np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]).all()
+def test_profiles_bind_and_bundle_letters():
+    def vector(ch):
+        return langid.letter_vectors(np.array([0 if ch == " " else ord(ch)]))[0].astype(int)
+
+    for text in ("abca", "été abc été", "كتاب ab كتاب", "中文字", "a" * 40):
+        marked, total = f" {text} ", np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        assert (langid.bundle(text.upper()) == total).all()
+    assert langid.bundle("12 !") is None and langid.bundle("") is None
+    points = np.array([ord(c) for c in "abcكتبвгд中文字"])
+    v = langid.letter_vectors(points).astype(int)
+    assert abs(v @ v.T / langid.DIMENSIONS - np.eye(len(points))).max() < 0.25  # no two letters are alike
+
+
+def test_predictions_are_the_greatest_cosines(spark, corpus):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in corpus.collect()]
+    learned = {r["doc_id"] for r in corpus.where(~langid.held_out(F.col("doc_id"))).collect()}
+    totals = {}
+    for i, t, lang in rows:
+        if i in learned and lang is not None and langid.profile(t) is not None:
+            totals[lang] = totals.get(lang, 0) + langid.profile(t)
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict(corpus, langid.learn(corpus)).collect()}
+    want = set()
+    for i, t, _ in rows:
+        v = langid.profile(t)
+        cos = sorted(((float(v @ p / np.linalg.norm(p)), k) for k, p in totals.items()), reverse=True) if v is not None else [(0.0, "und")]
+        want.add((i, cos[0][1], round(min(1.0, max(0.0, cos[0][0])), 9)))
+    assert got == want
 
 
 def test_mixing_meets_targets(spark):
