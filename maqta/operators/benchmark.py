@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maqta.functions.text import count_words
 from maqta.operators.metrics import pk, to_units, window_diff
-from maqta.operators.sentences import greedy_groups, sentences
+from maqta.operators.sentences import sentences
 from maqta.operators.structure import sections
 from maqta.plans.chunker import Chunker
 
@@ -44,12 +47,27 @@ def sentence_starts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("s.start").alias("starts"), F.col("s.size").alias("sizes"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _openings(sizes: pd.Series, budget: pd.Series) -> pd.Series:
+    """Numbers of the sentences before which a segment is full; a segment without a word takes any sentence."""
+
+    def of(row, most):
+        ends, out, a = np.concatenate([[0], np.cumsum(row)]), [], 0
+        while True:
+            # The first sentence that does not fit, at the earliest the one after the segment's first word.
+            filled = int(np.searchsorted(ends, ends[a], "right"))
+            a = max(filled, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            if a >= len(row):
+                return out
+            out.append(a)
+
+    return pd.Series([of(np.asarray(s, np.int64), b) for s, b in zip(sizes, budget, strict=True)], dtype=object)
+
+
 def fixed_size(docs: DataFrame, budget: int) -> DataFrame:
     """doc_id, cuts: offsets at which sentences packed up to ``budget`` words open a new segment."""
-    rows = sentence_starts(docs).withColumn("g", greedy_groups("sizes", F.lit(budget), F.lit(True)))
-    # The first sentence never opens a segment, and leading sentences without a word never fill one.
-    at = F.filter(F.transform(F.sequence(F.lit(1), F.size("g")), lambda i: F.when((i > 1) & (F.element_at("g", i) != F.element_at("g", F.greatest(i - 1, F.lit(1)))), F.element_at("starts", i))), lambda x: x.isNotNull())
-    return rows.select("doc_id", at.alias("cuts"))
+    rows = sentence_starts(docs)
+    return rows.select("doc_id", F.transform(_openings("sizes", F.lit(budget)), lambda i: F.get("starts", i)).alias("cuts"))
 
 
 def semantic(chunker: Chunker) -> Callable[[DataFrame], DataFrame]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maqta.functions.text import NOT_S
-from maqta.operators.vectors import HashingEmbedder, tokens_column
+from maqta.operators.vectors import HashingEmbedder, bounded
 
 
 def mask(boundaries: Column, n: Column) -> Column:
@@ -17,63 +20,81 @@ def mask(boundaries: Column, n: Column) -> Column:
 
 def default_window(gold: Column, n: Column) -> Column:
     """Half the mean length of a gold segment, 2 at least; halves round to even."""
-    segments = F.aggregate(mask(gold, n), F.lit(1), lambda a, x: a + x.cast("int"))
+    segments = F.size(F.array_distinct(F.filter(gold, lambda b: (b > 0) & (b < n)))) + 1
     return F.greatest(F.lit(2), F.bround(n / segments / 2, 0).cast("int"))
 
 
-def _windows(gold: Column, pred: Column, n: Column, k: Column, differ) -> Column:
-    """Share of windows of k gaps in which two masks differ; 0 without a window."""
-    a, b = mask(gold, n), mask(pred, n)
-    count = n - k
-    wrong = F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), F.lit(0), lambda s, i: s + differ(F.slice(a, i, k), F.slice(b, i, k)).cast("int"))
-    return F.when(count <= 0, F.lit(0.0)).otherwise(wrong / count)
+@F.pandas_udf(T.StructType([T.StructField("pk", T.DoubleType()), T.StructField("wd", T.DoubleType())]))
+def _disagreement(gold: pd.Series, pred: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+    """Shares of windows of k gaps in which one segmentation alone has a boundary, and in which their numbers differ.
 
-
-def _k(gold: Column, n: Column, k: Column | int | None) -> Column:
+    Boundaries before each gap are counted once; a window's number is a difference of two counts.
+    """
+    out = np.zeros((len(n), 2))
+    for row, (g, p, size, width) in enumerate(zip(gold, pred, n, k, strict=True)):
+        count = int(size) - int(width)
+        if count <= 0:
+            continue
+        held = []
+        for starts in (g, p):
+            at = np.unique(np.asarray(starts, np.int64))
+            mark = np.zeros(int(size) + 1, np.int64)
+            mark[at[(at > 0) & (at < size)]] = 1
+            upto = np.cumsum(mark)
+            first = np.arange(1, count + 1)
+            held.append(upto[np.minimum(first + int(width) - 1, int(size) - 1)] - upto[first - 1])
+        out[row] = ((held[0] > 0) != (held[1] > 0)).mean(), (held[0] != held[1]).mean()
+    return pd.DataFrame(out, columns=["pk", "wd"])
+
+
+def _compare(gold: Column, pred: Column, n: Column, k: Column | int | None) -> Column:
     fallback = default_window(gold, n)
-    if k is None:
-        return fallback
-    return F.coalesce(F.nullif(F.lit(k) if isinstance(k, int) else k, F.lit(0)), fallback)
+    width = fallback if k is None else F.coalesce(F.nullif(F.lit(k) if isinstance(k, int) else k, F.lit(0)), fallback)
+    nothing = F.array().cast("array<int>")
+    return _disagreement(F.coalesce(gold.cast("array<int>"), nothing), F.coalesce(pred.cast("array<int>"), nothing), F.coalesce(n, F.lit(0)).cast("int"), F.coalesce(width, F.lit(2)).cast("int"))
 
 
 def pk(gold: Column, pred: Column, n: Column, k: Column | int | None = None) -> Column:
     """Beeferman's Pk of boundaries (arrays of segment starts) over n units: windows in which only one has a boundary."""
-    some = lambda m: F.exists(m, lambda x: x)
-    return _windows(gold, pred, n, _k(gold, n, k), lambda a, b: some(a) != some(b))
+    return _compare(gold, pred, n, k)["pk"]
 
 
 def window_diff(gold: Column, pred: Column, n: Column, k: Column | int | None = None) -> Column:
     """WindowDiff: windows in which the numbers of boundaries differ."""
-    total = lambda m: F.aggregate(m, F.lit(0), lambda s, x: s + x.cast("int"))
-    return _windows(gold, pred, n, _k(gold, n, k), lambda a, b: total(a) != total(b))
+    return _compare(gold, pred, n, k)["wd"]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _ranks(starts: pd.Series, positions: pd.Series) -> pd.Series:
+    rows = (np.unique(np.searchsorted(np.asarray(s, np.int64), [x for x in p if x > 0], "left")) for s, p in zip(starts, positions, strict=True))
+    return pd.Series([r.astype(np.int32) for r in rows], dtype=object)
 
 
 def to_units(starts: Column, positions: Column) -> Column:
     """Offsets as unit numbers: for each positive offset how many of the sorted starts are before it, once each."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(positions, lambda p: p > 0), lambda p: F.size(F.filter(starts, lambda s: s < p)))))
+    return _ranks(starts.cast("array<int>"), positions.cast("array<int>"))
 
 
 def adjacent_similarity(chunks: DataFrame, embedder=HashingEmbedder()) -> DataFrame:
     """doc_id, similarity: mean cosine of neighbouring chunks, their texts embedded anew document by document."""
-    seen = tokens_column() if isinstance(embedder, HashingEmbedder) else F.col("text")
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", seen.alias("seen")))).alias("c"))
+    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text"))).alias("c"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             found = []
-            for m in embedder.rows([[c["seen"] for c in d] for d in batch.column(1).to_pylist()]):
+            for m in embedder.rows([[c["text"] for c in d] for d in batch.column(1).to_pylist()]):
                 found.append(float((m[:-1] * m[1:]).sum(1).mean()) if len(m) > 1 else None)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "similarity"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, similarity double")
 
 
-def chunk_quality(chunks: DataFrame, embedder=HashingEmbedder()) -> DataFrame:
+def chunk_quality(chunks: DataFrame, embedder=HashingEmbedder(), docs: DataFrame | None = None) -> DataFrame:
     """doc_id, chunks, mean_words, min_words, max_words, size_cv, mean_coherence, mean_adjacent_similarity.
 
-    chunks: doc_id, index, text and, if there is one, coherence.  Words are runs without white space.  Documents
-    without a chunk have no row.
+    chunks: doc_id, index, text and, if there is one, coherence.  Words are runs without white space.  With ``docs``
+    (doc_id) documents without a chunk have a row too, of 0 chunks and nulls.
     """
     size = F.regexp_count("text", F.lit(f"{NOT_S}+"))
     coherence = F.avg("coherence") if "coherence" in chunks.columns else F.lit(None).cast("double")
@@ -81,13 +102,5 @@ def chunk_quality(chunks: DataFrame, embedder=HashingEmbedder()) -> DataFrame:
         F.count(F.lit(1)).alias("chunks"), F.bround(F.avg("size"), 1).alias("mean_words"), F.min("size").alias("min_words"), F.max("size").alias("max_words"),
         F.bround(F.stddev_pop("size") / F.coalesce(F.nullif(F.avg("size"), F.lit(0.0)), F.lit(1.0)), 3).alias("size_cv"), F.bround(coherence, 4).alias("mean_coherence"),
     )
-    return per.join(adjacent_similarity(chunks, embedder), "doc_id", "left").withColumn("mean_adjacent_similarity", F.bround("similarity", 4)).drop("similarity")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers; 0 where one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
-
-
+    out = per.join(adjacent_similarity(chunks, embedder), "doc_id", "left").withColumn("mean_adjacent_similarity", F.bround("similarity", 4)).drop("similarity")
+    return out if docs is None else docs.select("doc_id").join(out, "doc_id", "left").na.fill(0, ["chunks"])

@@ -6,6 +6,10 @@ place of interest, the text is split there, and lengths are summed up to offsets
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,10 +42,11 @@ def _lead(text: Column) -> Column:
 def paragraphs(secs: DataFrame) -> DataFrame:
     """doc_id, section_idx, para_idx, start, text of sections (doc_id, section_idx, start, body)."""
     marked = F.regexp_replace(_safe(F.col("body")), F.lit(f"({PARAGRAPH})"), F.lit(f"{MARK}$1{MARK2}"))
-    cut = secs.select("doc_id", "section_idx", F.col("start").alias("base"), F.posexplode(F.split(marked, f"[{MARK}{MARK2}]", -1)).alias("i", "text"))
+    path = [c for c in secs.columns if c == "headings"]
+    cut = secs.select("doc_id", "section_idx", *path, F.col("start").alias("base"), F.posexplode(F.split(marked, f"[{MARK}{MARK2}]", -1)).alias("i", "text"))
     before = W.partitionBy("doc_id", "section_idx").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     cut = cut.withColumn("start", F.col("base") + F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    return cut.where("i % 2 = 0").select("doc_id", "section_idx", (F.col("i") / 2).cast("int").alias("para_idx"), F.col("start").cast("int").alias("start"), "text")
+    return cut.where("i % 2 = 0").select("doc_id", "section_idx", *path, (F.col("i") / 2).cast("int").alias("para_idx"), F.col("start").cast("int").alias("start"), "text")
 
 
 def line_groups(paras: DataFrame) -> DataFrame:
@@ -49,7 +54,8 @@ def line_groups(paras: DataFrame) -> DataFrame:
 
     A group ends after a line that is finished or blank, and before a list item.
     """
-    cut = paras.select("doc_id", "section_idx", "para_idx", F.col("start").alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    path = [c for c in paras.columns if c == "headings"]
+    cut = paras.select("doc_id", "section_idx", *path, "para_idx", F.col("start").alias("base"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     by_para = W.partitionBy("doc_id", "section_idx", "para_idx").orderBy("i")
     previous = F.lag("line").over(by_para)
     ends = previous.rlike(rf"{L.LINE_END}{S}*\z") | (strip(previous) == "") | F.col("line").rlike(LIST_MARKER)
@@ -57,7 +63,7 @@ def line_groups(paras: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.length("line") + 1).over(by_para.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = cut.withColumn("group_idx", F.sum("opens").over(by_para)).withColumn("start", F.col("base") + before)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
-    return cut.groupBy("doc_id", "section_idx", "para_idx", "group_idx").agg(F.min("start").cast("int").alias("start"), text.alias("text"))
+    return cut.groupBy("doc_id", "section_idx", "para_idx", "group_idx").agg(F.min("start").cast("int").alias("start"), text.alias("text"), *(F.first(c).alias(c) for c in path))
 
 
 _OPEN, _CLOSE = rf"(?:\A|{S})[(«\"'\[]*", rf"ـ*{S}*\z"
@@ -96,7 +102,7 @@ def _protected(head: Column, tail: Column) -> Column:
 
 
 def sentences(secs: DataFrame) -> DataFrame:
-    """doc_id, section_idx, start, end, text, paragraph_start of sections (doc_id, section_idx, start, body).
+    """doc_id, section_idx, start, end, text, paragraph_start of sections (doc_id, section_idx, start, body), and their headings.
 
     paragraph_start marks the first sentence of each paragraph.
     """
@@ -107,67 +113,108 @@ def sentences(secs: DataFrame) -> DataFrame:
     parts = parts.withColumn("tails", all_of(rf"(?s)(?=[.…!?؟](.{{0,{LOOK_AHEAD}}})){TERMINATOR}", 1))
     ended = F.transform(F.arrays_zip("marks", "heads", "tails"), lambda x: F.when(x["marks"].startswith(".") & ~x["marks"].startswith("...") & _protected(x["heads"], x["tails"]), x["marks"]).otherwise(F.concat(x["marks"], F.lit(MARK))))
     joined = F.array_join(F.transform(F.arrays_zip(F.col("pieces").alias("p"), F.concat(ended, F.array(F.lit(""))).alias("m")), lambda x: F.concat(x["p"], x["m"])), "")
-    cut = parts.select("doc_id", "section_idx", "para_idx", "group_idx", F.col("start").alias("base"), F.posexplode(F.split(joined, MARK, -1)).alias("i", "raw"))
+    path = [c for c in secs.columns if c == "headings"]
+    cut = parts.select("doc_id", "section_idx", *path, "para_idx", "group_idx", F.col("start").alias("base"), F.posexplode(F.split(joined, MARK, -1)).alias("i", "raw"))
     before = W.partitionBy("doc_id", "section_idx", "para_idx", "group_idx").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     cut = cut.withColumn("at", F.col("base") + F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0))).withColumn("text", strip("raw")).where("text <> ''")
     cut = cut.withColumn("start", (F.col("at") + _lead(F.col("raw"))).cast("int"))
     first = F.row_number().over(W.partitionBy("doc_id", "section_idx", "para_idx").orderBy("group_idx", "i")) == 1
-    return cut.select("doc_id", "section_idx", "start", (F.col("start") + F.length("text")).cast("int").alias("end"), "text", first.alias("paragraph_start"))
+    return cut.select("doc_id", "section_idx", "start", (F.col("start") + F.length("text")).cast("int").alias("end"), "text", first.alias("paragraph_start"), *path)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def greedy_groups(sizes: pd.Series, most: pd.Series, fill: pd.Series) -> pd.Series:
-    """Group numbers of items packed in order: an item opens a group if it does not fit into the open one; with ``fill``
-    a group that holds nothing yet takes any item.
+@dataclass(frozen=True)
+class Length:
+    """How long a text is: a function of the text and, where there is one, the same as a Spark expression."""
 
-    Where the open group ends depends on all items before, which no built-in expression does in linear time.
-    """
+    of: Callable[[str], int]
+    column: Callable[[Column], Column] | None = None
 
-    def pack(row, limit, must_fill):
-        if row is None:
-            return None
-        out, group, held = [], 0, 0
-        for i, size in enumerate(row):
-            if i and held + size > limit and (held or not must_fill):
-                group, held = group + 1, 0
-            held += size
-            out.append(group)
-        return out
-
-    return pd.Series([pack(*x) for x in zip(sizes, most, fill, strict=True)], dtype=object)
-
-
-def _divide(spans: DataFrame, pattern: str | None, most: int) -> DataFrame:
-    """Cuts spans of more than ``most`` words behind each match of ``pattern`` (None: behind each word) and packs the pieces."""
-    text = _safe(F.col("text"))
-    marked = F.regexp_replace(text, F.lit(f"({pattern})" if pattern else f"({NOT_S}+{S}*)"), F.lit(f"$1{MARK}"))
-    long = F.col("words") > most
-    work = spans.withColumn("words", count_words("text")).withColumn("pieces", F.when(long, F.filter(F.split(marked, MARK, -1), lambda x: x != "")))
-    work = work.withColumn("group_of", greedy_groups(F.transform("pieces", count_words), F.lit(most), F.lit(False)))
-    # Pieces of one group are put together again; white space at a piece's ends belongs to no unit.
-    groups = F.when(long, F.transform(F.sequence(F.lit(0), F.element_at("group_of", -1)), lambda g: F.array_join(F.transform(F.filter(F.arrays_zip("pieces", "group_of"), lambda x: x["group_of"] == g), lambda x: x["pieces"]), ""))).otherwise(F.array("text"))
-    keep = [c for c in spans.columns if c not in ("start", "end", "text", "paragraph_start")]
-    # Offsets are summed up within the span's own few pieces: no window, so nothing is sorted or shuffled.
-    placed = F.transform("raws", lambda raw, i: F.struct(F.aggregate(F.slice("raws", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)).alias("at"), raw.alias("raw")))
-    out = work.withColumn("raws", groups).select(*keep, F.col("start").alias("base"), "paragraph_start", F.posexplode(F.filter(placed, lambda x: strip(x["raw"]) != "")).alias("i", "p"))
-    out = out.withColumn("text", strip("p.raw")).withColumn("start", (F.col("base") + F.col("p.at") + _lead(F.col("p.raw"))).cast("int"))
-    return out.select(*keep, "start", (F.col("start") + F.length("text")).cast("int").alias("end"), "text", (F.col("paragraph_start") & (F.col("i") == 0)).alias("paragraph_start"))
+    def measure(self, text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        if self.column is not None:
+            return self.column(text)
+        of = self.of
+        return F.pandas_udf(lambda texts: texts.map(lambda t: int(of(t or ""))), T.IntegerType())(text)
 
 
-def split_long(spans: DataFrame, max_tokens: int) -> DataFrame:
-    """Spans (doc_id, start, end, text, paragraph_start, ...) cut until they have ``max_tokens`` words at most.
+_WORDS = re.compile(L.WORD)
+WORDS = Length(lambda t: len(_WORDS.findall(t)), count_words)
+CHARACTERS = Length(len, lambda c: F.length(F.coalesce(c, F.lit(""))))
 
-    First behind strong marks, what is still long behind weak ones, then before connectives, then between words; a
-    run without white space is never cut.  Counts add up over such cuts, so a level never has to be tried twice.
+
+def as_length(f: Length | Callable[[str], int] | None) -> Length:
+    """Words if nothing is given; any function of a text, which need not add up over parts."""
+    return WORDS if f is None else f if isinstance(f, Length) else Length(f)
+
+
+#: Where long spans are cut, the preferred places first; after them between any two runs without white space.
+CUTS = [re.compile(p) for p in (L.STRONG_MARKS, L.WEAK_MARKS, CONNECTIVE)]
+_RUN = re.compile(f"{NOT_S}+")
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """The range without white space at its ends."""
+    own = text[a:b]
+    return b - len(own.lstrip()), a + len(own.rstrip())
+
+
+def _packed(text: str, parts: list[tuple[int, int]], most: int, of: Callable[[str], int]) -> list[tuple[int, int]]:
+    """Neighbouring parts put together as long as they fit; a part that is too long stands alone."""
+    out: list[tuple[int, int]] = []
+    for a, b in parts:
+        if out and of(text[out[-1][0] : b]) <= most:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def cut_places(text: str, most: int, of: Callable[[str], int]) -> list[tuple[int, int]]:
+    """Ranges of a text that is longer than ``most``, each of at most that length unless it is one run without white space.
+
+    A range is cut at the first kind of place that makes two or more of it, and what is still too long again.
     """
-    out = spans
-    for pattern in (L.STRONG_MARKS, L.WEAK_MARKS, CONNECTIVE, None):
-        out = _divide(out, pattern, max_tokens)
+    todo, out = [(0, len(text))], []
+    while todo:
+        a, b = _bare(text, *todo.pop())
+        if of(text[a:b]) <= most:
+            out.append((a, b))
+            continue
+        for cut in CUTS:
+            edges = [a, *(a + m.end() for m in cut.finditer(text[a:b]) if a + m.end() < b), b]
+            parts = _packed(text, [x for x in zip(edges[:-1], edges[1:], strict=True) if text[x[0] : x[1]].strip()], most, of)
+            if len(parts) > 1:
+                todo += parts[::-1]
+                break
+        else:
+            out += _packed(text, [(a + m.start(), a + m.end()) for m in _RUN.finditer(text[a:b])], most, of)
     return out
 
 
-def units(docs: DataFrame, max_tokens: int = 256, respect_structure: bool = True) -> DataFrame:
+def split_long(spans: DataFrame, max_tokens: int, length: Length = WORDS) -> DataFrame:
+    """Spans (doc_id, start, end, text, paragraph_start, ...) cut until they are ``max_tokens`` long at most.
+
+    First behind strong marks, what is still long behind weak ones, then before connectives, then between words; a
+    run without white space is never cut.  Where a cut may be depends on lengths of all before it, so spans over
+    the budget go through a vectorised function; all others never leave the JVM.
+    """
+    of = length.of
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def places(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"a": a, "b": b} for a, b in cut_places(t, max_tokens, of)] for t in texts], dtype=object)
+
+    keep = [c for c in spans.columns if c not in ("start", "end", "text", "paragraph_start")]
+    found = spans.withColumn("cuts", places(F.when(length.measure("text") > max_tokens, F.col("text"))))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.length("text").alias("b")))
+    # Texts are cut inside the array, so a long one is not copied for each of its pieces.
+    parts = F.transform(F.coalesce("cuts", whole), lambda x, i: F.struct((F.col("start") + x["a"]).alias("start"), F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"]).alias("text"), (F.col("paragraph_start") & (i == 0)).alias("first")))
+    out = found.select(*keep, F.explode(parts).alias("p"))
+    return out.select(*keep, F.col("p.start").cast("int").alias("start"), (F.col("p.start") + F.length("p.text")).cast("int").alias("end"), F.col("p.text").alias("text"), F.col("p.first").alias("paragraph_start"))
+
+
+def units(docs: DataFrame, max_tokens: int = 256, respect_structure: bool = True, length: Length = WORDS) -> DataFrame:
     """doc_id, unit_idx, section_idx, start, end, text, paragraph_start, tokens: what chunks are made of."""
-    parts = split_long(sentences(sections(docs, respect_structure)), max_tokens)
+    parts = split_long(sentences(sections(docs, respect_structure)), max_tokens, length)
     idx = F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "start")) - 1
-    return parts.select("doc_id", idx.alias("unit_idx"), "section_idx", "start", "end", "text", "paragraph_start", count_words("text").alias("tokens"))
+    return parts.select("doc_id", idx.alias("unit_idx"), "section_idx", "start", "end", "text", "paragraph_start", length.measure("text").alias("tokens"))

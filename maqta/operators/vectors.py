@@ -19,11 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maqta.functions.text import NOT_S, normalize_arabic, stems
+from maqta.functions.words import Runs
 
 DIMENSIONS = 2048
 NGRAMS = (2, 4)
 WORD_WEIGHT = 2.0
 KNOWN_STEMS = 200_000
+#: Cells of a table of units and features that is summed up at once.
+CELLS = 1 << 21
+#: Documents that a Python worker turns into objects at once.
+DOCUMENTS = 32
+
+
+def bounded(batches: Iterable[pa.RecordBatch], most: int = DOCUMENTS) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            yield batch.slice(lo, most)
 
 
 @dataclass(frozen=True)
@@ -35,11 +46,12 @@ class HashingEmbedder:
     word_weight: float = WORD_WEIGHT
     use_idf: bool = True
 
-    def rows(self, docs: Iterable[list[list[str]]]) -> Iterable[np.ndarray]:
-        """A dense matrix of unit rows for each document; a unit is its list of tagged tokens."""
+    def rows(self, docs: Iterable[list[str]]) -> Iterable[np.ndarray]:
+        """A dense matrix of unit rows for each document, which is a list of texts."""
         known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        runs = Runs()
         for units in docs:
-            yield self._matrix(units, known)
+            yield self._matrix([runs.tokens(u or "") for u in units], known)
 
     def _features(self, token: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of a tagged token and their weights; "=x" is a stem, "~x" a word of a unit without stems."""
@@ -60,25 +72,34 @@ class HashingEmbedder:
         return known[token]
 
     def _matrix(self, units: list[list[str]], known: dict) -> np.ndarray:
-        n = len(units)
-        parts = [self._features(t, known) for u in units for t in u]
-        out = np.zeros((n, self.dim))
-        if not parts:
-            return out
+        n, place = len(units), {}
+        seen = np.array([place.setdefault(t, len(place)) for u in units for t in u], np.int64)
+        if not place:
+            return np.zeros((n, self.dim))
+        parts = [self._features(t, known) for t in place]
         sizes = np.array([len(p[0]) for p in parts])
-        owner = np.repeat(np.repeat(np.arange(n), [len(u) for u in units]), sizes)
-        ids, weights = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        features, number = np.unique(ids, return_inverse=True)
-        cell, at = np.unique(owner * len(features) + number.ravel(), return_inverse=True)
-        tf = np.bincount(at.ravel(), weights)
-        unit, feature = cell // len(features), cell % len(features)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        weights = np.concatenate([p[1] for p in parts])
+        features, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        edges = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+        step, cells = max(1, CELLS // len(features)), []
+        for lo in range(0, n, step):  # as many units at once as a table of their features may have cells
+            hi = min(n, lo + step)
+            owner = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
+            token = seen[edges[lo] : edges[hi]]
+            width = sizes[token]
+            of = np.arange(width.sum()) + np.repeat(first[token] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
+            tf = np.bincount(np.repeat(owner, width) * len(features) + number[of], weights[of], (hi - lo) * len(features))
+            at = np.flatnonzero(tf)
+            cells.append((at // len(features) + lo, at % len(features), tf[at]))
+        unit, feature, tf = (np.concatenate(x) for x in zip(*cells, strict=True))
         value = 1.0 + np.log(tf)
         if self.use_idf and n > 1:
             value *= (np.log((1 + n) / (1 + np.bincount(feature, minlength=len(features)))) + 1.0)[feature]
-        crc = features[feature] & np.uint64(0xFFFFFFFF)
+        crc = features & np.uint64(0xFFFFFFFF)
         sign = np.where(crc >> np.uint64(31), 1.0, -1.0)
-        np.add.at(out, (unit, (crc % np.uint64(self.dim)).astype(np.int64)), sign * value)
-        return _unit_rows(out)
+        bucket = (crc % np.uint64(self.dim)).astype(np.int64)
+        return _unit_rows(np.bincount(unit * self.dim + bucket[feature], sign[feature] * value, n * self.dim).reshape(n, self.dim))
 
 
 @dataclass(frozen=True)
@@ -114,6 +135,27 @@ class SentenceTransformerEmbedder:
             yield np.asarray(model.encode([prefix + t for t in texts], batch_size=self.batch_size, normalize_embeddings=True, show_progress_bar=False), np.float64)
 
 
+class MemoisingEmbedder:
+    """Keeps each text's vector, so that a text has one vector whatever document it stands in.
+
+    Vectors of an embedder that looks at a document as a whole, as the hashing one does, are those of the call in
+    which a text was first seen.  Each Python task keeps its own; ``most`` texts at most are held.
+    """
+
+    def __init__(self, inner, most: int = 1 << 16) -> None:
+        self.inner, self.most, self.known = inner, most, {}
+
+    def rows(self, docs: Iterable[list[str]]) -> Iterable[np.ndarray]:
+        known = self.known
+        for texts in docs:
+            if len(known) > self.most:
+                known.clear()
+            fresh = [t for t in dict.fromkeys(texts) if t not in known]
+            if fresh:
+                known.update(zip(fresh, next(iter(self.inner.rows([fresh]))), strict=True))
+            yield np.vstack([known[t] for t in texts]) if texts else np.zeros((0, 1))
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     norm[norm == 0] = 1
@@ -143,10 +185,9 @@ def context_distance(v: np.ndarray, sections: np.ndarray, window: int) -> list[f
     return [None if a != b else 1.0 - float(c) if d > 0 else 1.0 for a, b, c, d in zip(sections[:-1], sections[1:], cos, norm, strict=True)]
 
 
-def document_rows(units: DataFrame, embedder) -> DataFrame:
-    """doc_id, units: one row per document, its units in order with what the embedder reads of them as ``seen``."""
-    seen = tokens_column() if isinstance(embedder, HashingEmbedder) else F.col("text")
-    own = units.select("doc_id", F.struct("unit_idx", "section_idx", seen.alias("seen")).alias("u"))
+def document_rows(units: DataFrame, *columns) -> DataFrame:
+    """doc_id, units: one row per document, its units in order with ``columns`` and their texts."""
+    own = units.select("doc_id", F.struct("section_idx", "start", *columns, "text").alias("u"))
     return own.groupBy("doc_id").agg(F.array_sort(F.collect_list("u")).alias("units"))
 
 
@@ -155,19 +196,16 @@ def gap_distances(units: DataFrame, embedder=HashingEmbedder(), window: int = 3,
 
     vector: the unit's row as bytes of 64-bit indices below 2**16 and values, only what is not 0.
     """
-    rows = document_rows(units, embedder)
+    rows = document_rows(units)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            docs = batch.column(1)
-            seen = [[u["seen"] for u in d] for d in docs.to_pylist()]
-            wide = [[(u["unit_idx"], u["section_idx"]) for u in d] for d in docs.to_pylist()]
-            for k, m in enumerate(embedder.rows(seen)):
-                idx, sections = np.array([x[0] for x in wide[k]]), np.array([x[1] for x in wide[k]])
-                dist = [*context_distance(m, sections, window), None]
+        for batch in bounded(batches):
+            docs = batch.column(1).to_pylist()
+            for k, m in enumerate(embedder.rows([[u["text"] for u in d] for d in docs])):
+                dist = [*context_distance(m, np.array([u["section_idx"] for u in docs[k]]), window), None]
                 data = [pack_row(r) for r in m] if keep_vectors else [None] * len(m)
-                yield pa.record_batch([batch.column(0).take(pa.array([k] * len(m), pa.int64())), pa.array(idx, pa.int32()), pa.array(dist, pa.float64()), pa.array(data, pa.binary())], names=["doc_id", "unit_idx", "dist", "vector"])
+                yield pa.record_batch([batch.column(0).take(pa.array([k] * len(m), pa.int64())), pa.array(range(len(m)), pa.int32()), pa.array(dist, pa.float64()), pa.array(data, pa.binary())], names=["doc_id", "unit_idx", "dist", "vector"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, unit_idx int, dist double, vector binary")
 

@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maqta.config import ChunkConfig
-from maqta.functions.text import count_words
-from maqta.operators.segments import CHUNK_COLUMNS, build_chunks, gap_scores, segment
-from maqta.operators.sentences import sentences, split_long
+from maqta.operators.segments import CHUNK_COLUMNS, chunks_of
+from maqta.operators.sentences import Length, as_length, sentences, split_long
 from maqta.operators.structure import sections
-from maqta.operators.vectors import HashingEmbedder, gap_distances
+from maqta.operators.vectors import HashingEmbedder
 
 
 class Chunker:
-    """Splits the texts of (doc_id, text) where topics change, within a budget of words.
+    """Splits the texts of (doc_id, text) where topics change, within a budget.
 
-    doc_id must be unique; null texts are empty and give no chunk.
+    doc_id must be unique and not null; null texts are empty and give no chunk.  The budget is in words unless
+    ``length_function`` says otherwise: any function from a text to a whole number, or a ``Length``.
     """
 
-    def __init__(self, config: ChunkConfig | None = None, embedder=None, **settings) -> None:
+    def __init__(self, config: ChunkConfig | None = None, embedder=None, length_function: Length | Callable[[str], int] | None = None, **settings) -> None:
         self.config = replace(config, **settings) if config else ChunkConfig(**settings)
         self.embedder = embedder or HashingEmbedder()
+        self.length = as_length(length_function)
 
     def _tiers(self, docs: DataFrame, config: ChunkConfig) -> DataFrame:
-        docs = docs.select("doc_id", "text")
-        secs = sections(docs, config.respect_structure)
-        spans = split_long(sentences(secs), config.max_tokens)
-        idx = F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "start")) - 1
-        units = spans.withColumn("unit_idx", idx).withColumn("tokens", count_words("text"))
-        scored = gap_scores(units, gap_distances(units, self.embedder, config.window), config)
-        return build_chunks(docs, secs, segment(scored, config))
+        # One exchange, which the units and the texts that chunks are cut from both read; all that follows is document by document.
+        docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+        units = split_long(sentences(sections(docs, config.respect_structure)), config.max_tokens, self.length)
+        return chunks_of(units, docs, config, self.embedder, self.length)
 
     def chunk(self, docs: DataFrame) -> DataFrame:
         """Chunks of every document, ``CHUNK_COLUMNS``."""

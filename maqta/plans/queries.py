@@ -63,8 +63,7 @@ def q_units(spark, d):
 
 def q_gaps(config: ChunkConfig) -> Callable:
     def run(spark, d):
-        units = sentences.units(arabic(spark, d), config.max_tokens)
-        scored = segments.gap_scores(units, vectors.gap_distances(units, window=config.window, keep_vectors=False), config)
+        scored = segments.gap_scores(sentences.units(arabic(spark, d), config.max_tokens), config)
         return scored.select("doc_id", "unit_idx", F.round("dist", 6).alias("dist"), F.round("score", 6).alias("score"), F.round("theta", 6).alias("theta"))
 
     return run
@@ -98,8 +97,7 @@ def q_idf(spark, d):
 
 
 def q_vectors(spark, d):
-    units = sentences.units(arabic(spark, d), 256).select("doc_id", "unit_idx", "section_idx", "text")
-    rows = vectors.gap_distances(units)
+    rows = vectors.gap_distances(sentences.units(arabic(spark, d), 256))
     return rows.select("doc_id", "unit_idx", (F.length("vector") / 12).cast("int").alias("n_places"))
 
 

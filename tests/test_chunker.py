@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from maqta.config import ChunkConfig
 from maqta.functions import udtf
 from maqta.operators import benchmark, metrics, segments, vectors
-from maqta.operators.vectors import CallableEmbedder, HashingEmbedder
+from maqta.operators.sentences import CHARACTERS, Length
+from maqta.operators.vectors import CallableEmbedder, HashingEmbedder, MemoisingEmbedder
 from maqta.plans.chunker import Chunker, children, children_of
 from maqta.sources import files
 from maqta.streaming import chunks as stream
@@ -63,6 +64,34 @@ def test_hierarchy(spark):
     assert children(tiers).count() == len(kids)
 
 
+def test_length_functions(spark):
+    text = "؛ ".join(["كلمة أولى، كلمة ثانية"] * 6) + " " + "ط" * 50 + "."
+    for length in (len, CHARACTERS, lambda t: 3 * len(t.split()) ** 2):
+        of = length.of if isinstance(length, Length) else length
+        rows = chunk(spark, text, max_tokens=48, min_tokens=5, length_function=length, respect_structure=False)
+        assert len(rows) > 3 and all(r["token_count"] == of(r["text"]) for r in rows)
+        assert all(r["token_count"] <= 48 or " " not in r["text"] for r in rows)
+    assert [r["start"] for r in chunk(spark, text, max_tokens=48, min_tokens=5, length_function=len)] == [r["start"] for r in chunk(spark, text, max_tokens=48, min_tokens=5, length_function=CHARACTERS)]
+
+
+def test_one_scan_and_two_exchanges(spark, tmp_path):
+    frame(spark, [TOPICS]).write.parquet(str(tmp_path / "d"))
+    df = Chunker(max_tokens=45, min_tokens=15).chunk(spark.read.parquet(str(tmp_path / "d")))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 2
+    assert plan.count("FileScan") == 1
+
+
+def test_memoising_embedder_gives_a_text_one_vector():
+    calls = []
+    made = MemoisingEmbedder(CallableEmbedder(lambda texts: calls.append(list(texts)) or [[len(t), 1.0] for t in texts]))
+    a, b = made.rows([["x", "yy", "x"], ["yy", "zzz"]])
+    assert (a[0] == a[2]).all() and (a[1] == b[0]).all() and calls == [["x", "yy"], ["zzz"]]
+    one, two = MemoisingEmbedder(HashingEmbedder()).rows([["طقس", "مطر طقس"], ["طقس"]])
+    assert (one[0] == two[0]).all()
+
+
 def test_edges(spark):
     rows = Chunker().chunk(frame(spark, ["", None, " \n ", "جملة واحدة."])).collect()
     assert [(r["doc_id"], r["text"]) for r in rows] == [(3, "جملة واحدة.")]
@@ -76,14 +105,30 @@ def test_bad_settings(bad):
 
 
 @pytest.mark.parametrize("kind", ["percentile", "std", "iqr"])
-def test_thresholds_match_numpy(spark, kind):
-    scores = [0.3, 0.9, None, 0.5, 0.7, 0.1, None]
-    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(scores)], "doc_id int, unit_idx int, score double")
-    r = segments.thresholds(rows, ChunkConfig(threshold_type=kind, threshold_amount=None if kind != "iqr" else 1.5)).first()
-    own = np.array([s for s in scores if s is not None])
-    q1, q3 = np.percentile(own, [25, 75])
-    want = {"percentile": np.percentile(own, 70), "std": own.mean() + 0.5 * own.std(), "iqr": q3 + 1.5 * (q3 - q1)}[kind]
-    assert r["theta"] == pytest.approx(want) and r["scale"] == pytest.approx(own.std())
+def test_thresholds(kind):
+    own = np.array([0.3, 0.9, 0.5, 0.7, 0.1])
+    got = segments.threshold(own, ChunkConfig(threshold_type=kind, threshold_amount=None if kind != "iqr" else 1.5))
+    mean = sum(own) / 5
+    std = (sum((x - mean) ** 2 for x in own) / 5) ** 0.5
+    want = {"percentile": 0.5 + 0.8 * 0.2, "std": mean + 0.5 * std, "iqr": 0.7 + 1.5 * 0.4}[kind]
+    assert got == (pytest.approx(want), pytest.approx(std))
+    assert segments.threshold(own[:0], ChunkConfig()) == (0.0, 1.0) and segments.threshold(own[:1], ChunkConfig())[1] == 1.0
+
+
+def test_greedy_cuts_follow_their_definition():
+    rng = random.Random(6)
+    for _ in range(500):
+        n = rng.randint(1, 12)
+        tokens, scores = np.array([rng.randint(0, 9) for _ in range(n)]), np.array([rng.uniform(-1, 1) if rng.random() < 0.9 else np.nan for _ in range(n - 1)])
+        least, most, theta = 5, 12, 0.2
+        cuts = segments.greedy_cuts(tokens, scores, theta, least, most)
+        edges = [0, *cuts, n]
+        for a, b in itertools.pairwise(edges):
+            assert b > a and (tokens[a:b].sum() <= most or tokens[a : b - 1].sum() <= most and b - a == 1)
+            for k in range(a + 1, b):  # no earlier cut was due
+                assert not (tokens[a:k].sum() >= least and scores[k - 1] > theta)
+            if b < n:  # and this one was
+                assert tokens[a : b + 1].sum() > most or (tokens[a:b].sum() >= least and scores[b - 1] > theta)
 
 
 def test_optimal_cuts_match_brute_force():
@@ -109,7 +154,7 @@ def test_ties_take_the_shortest_last_piece():
 
 
 def test_hashing_forms_agree(spark):
-    units = spark.createDataFrame([(0, i, 0, s) for i, s in enumerate([*WEATHER, "من إلى", "the law and Law"])], "doc_id long, unit_idx int, section_idx int, text string")
+    units = spark.createDataFrame([(0, i, 0, i, s) for i, s in enumerate([*WEATHER, "من إلى", "the law and Law"])], "doc_id long, unit_idx int, section_idx int, start int, text string")
     native = {}
     for r in vectors.hashed_vectors(units).collect():
         native.setdefault(r["unit_idx"], {})[r["bucket"]] = r["w"]
