@@ -8,15 +8,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maqta.config import ChunkConfig
 from maqta.functions import lexicon as L
 from maqta.functions import text as X
 from maqta.operators import benchmark, metrics, segments, sentences, structure, vectors
-from maqta.plans.chunker import Chunker
+from maqta.plans import oracles
+from maqta.plans.chunker import Chunker, children
 from maqta.sources import files
 
 LATIN, SCRIPT = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنهوية"
@@ -58,13 +60,13 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_units(spark, d):
-    return sentences.units(docs(spark, d), 64).select("doc_id", "unit_idx", "section_idx", "start", "end", "tokens", "paragraph_start")
+    return sentences.units(docs(spark, d), 64, False).select("doc_id", "unit_idx", "start", "end", "tokens", "paragraph_start")
 
 
 def q_gaps(config: ChunkConfig) -> Callable:
     def run(spark, d):
-        scored = segments.gap_scores(sentences.units(arabic(spark, d), config.max_tokens), config)
-        return scored.select("doc_id", "unit_idx", F.round("dist", 6).alias("dist"), F.round("score", 6).alias("score"), F.round("theta", 6).alias("theta"))
+        scored = segments.gap_scores(sentences.units(arabic(spark, d), config.max_tokens, False), config)
+        return scored.select("doc_id", "unit_idx", (F.round("dist", 6) + F.lit(0.0)).alias("dist"), (F.round("score", 6) + F.lit(0.0)).alias("score"), (F.round("theta", 6) + F.lit(0.0)).alias("theta"))
 
     return run
 
@@ -78,12 +80,13 @@ def q_hierarchical(spark, d):
 
 
 def q_children(spark, d):
-    tiers = q_hierarchical(spark, d).where("tier = 'chunk'")
-    return tiers.groupBy("doc_id", "parent_id").agg(F.count(F.lit(1)).alias("n_children"))
+    """How many chunks each parent has."""
+    tiers = Chunker(SMALL, respect_structure=False).chunk_hierarchical(arabic(spark, d), 256)
+    return children(tiers).groupBy("doc_id", "parent_id").agg(F.count(F.lit(1)).alias("n_children"))
 
 
 def q_features(spark, d):
-    units = sentences.units(arabic(spark, d), 256).select("doc_id", "unit_idx", "text")
+    units = sentences.units(arabic(spark, d), 256, False).select("doc_id", "unit_idx", "text")
     return vectors.features(units).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum("tf").alias("total_tf"))
 
 
@@ -97,12 +100,36 @@ def q_idf(spark, d):
 
 
 def q_vectors(spark, d):
-    rows = vectors.gap_distances(sentences.units(arabic(spark, d), 256))
-    return rows.select("doc_id", "unit_idx", (F.length("vector") / 12).cast("int").alias("n_places"))
+    """Each unit's vector: how many places are not 0, their sum, and their sum weighed by place."""
+    rows = vectors.gap_distances(sentences.units(arabic(spark, d), 256, False)).select("doc_id", "unit_idx", "vector")
+
+    def digest(batches):
+        for batch in batches:
+            found = [vectors.unpack_row(v.as_py()) for v in batch.column(2)]
+            cols = [[int((abs(w) > 1e-7).sum()) for _, w in found], [round(float(w.sum()), 6) + 0.0 for _, w in found], [round(float((at * w).sum()) / 2048, 6) + 0.0 for at, w in found]]
+            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, cols)], names=["doc_id", "unit_idx", "n_places", "total", "weighed"])
+
+    return rows.mapInArrow(digest, "doc_id long, unit_idx int, n_places long, total double, weighed double")
+
+
+def q_flat(**settings) -> Callable:
+    """Chunks of Arabic-script texts without sections: where they are, their score and coherence."""
+
+    def run(spark, d):
+        rows = Chunker(SMALL, respect_structure=False, **settings).chunk(arabic(spark, d))
+        return rows.select("doc_id", "index", "start", "end", "sentence_count", (F.round("boundary_score", 4) + F.lit(0.0)).alias("boundary_score"), F.round("coherence", 4).alias("coherence"))
+
+    return run
 
 
 def q_quality(spark, d):
-    return metrics.chunk_quality(Chunker(SMALL).chunk(docs(spark, d)))
+    return metrics.chunk_quality(Chunker(SMALL, respect_structure=False).chunk(arabic(spark, d)))
+
+
+def q_hierarchical_flat(spark, d):
+    """Chunks of texts without sections, with the parent that each stands in."""
+    tiers = Chunker(SMALL, respect_structure=False).chunk_hierarchical(arabic(spark, d), 256)
+    return tiers.where("tier = 'chunk'").select("doc_id", "index", "parent_id", "start", "end")
 
 
 def q_fixed_size(spark, d):
@@ -111,8 +138,18 @@ def q_fixed_size(spark, d):
 
 
 def q_cosine(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("next", F.lead("embedding").over(W.partitionBy("label").orderBy("vec_id")))
-    return e.where("next is not null").select("vec_id", F.round(metrics.cosine(F.col("embedding"), F.col("next")), 5).alias("similarity"))
+    """Vectors of a label as units of a document: distance of each to the next, as gap scores measure it."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    rows = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for own in batch.column(1).to_pylist():
+                m = np.array([x["embedding"] for x in own], np.float64)
+                dist = vectors.context_distance(m, np.zeros(len(m), np.int64), 1)
+                yield pa.record_batch([pa.array([x["vec_id"] for x in own[:-1]], pa.int64()), pa.array([round(1 - x, 5) for x in dist], pa.float64())], names=["vec_id", "similarity"])
+
+    return rows.mapInArrow(run, "vec_id long, similarity double")
 
 
 def q_conversations(spark, d):
@@ -161,10 +198,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_threshold_std": q_gaps(ChunkConfig(threshold_type="std")),
         "q_threshold_iqr": q_gaps(ChunkConfig(threshold_type="iqr", threshold_amount=1.5)),
         "q_chunks": _chunks(),
+        "q_chunks_flat": q_flat(),
+        "q_chunks_flat_greedy": q_flat(strategy="greedy"),
+        "q_chunks_flat_overlap": q_flat(overlap_sentences=2),
         "q_chunks_greedy": _chunks(strategy="greedy"),
         "q_chunks_overlap": _chunks(overlap_sentences=2),
-        "q_split_text": lambda s, d: Chunker(SMALL, respect_structure=False).split_text(docs(s, d)),
+        "q_split_text": lambda s, d: Chunker(SMALL, respect_structure=False).split_text(arabic(s, d)),
         "q_hierarchical": q_hierarchical,
+        "q_hierarchical_flat": q_hierarchical_flat,
         "q_children": q_children,
         "q_chunk_quality": q_quality,
         "q_pk": lambda s, d: _gold(s, d).select("doc_id", F.round(metrics.pk(F.col("gold"), F.col("pred"), F.col("n")), 6).alias("pk")),
@@ -234,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
     item = LIST_ITEM_RE2
     plain_lines = """t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l0 AS (SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM t),
       l1 AS (SELECT doc_id, i - 1 AS line_idx, CASE WHEN i < n THEN body || chr(10) ELSE body END AS line FROM l0), l AS (SELECT * FROM l1 WHERE line <> '')"""
+    bias = lambda c: f"CASE WHEN regexp_matches({c}, {_re2(item)}) THEN -0.5 WHEN regexp_matches(substr({normal(c)}, 1, 40), {_re2(opening(L.SHIFT))}) THEN 1.0 WHEN regexp_matches(substr({normal(c)}, 1, 40), {_re2(opening(L.CONTINUE))}) THEN -1.0 ELSE 0.0 END::DOUBLE"
     sentence = f"""t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
       l0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
       l1 AS (SELECT *, lag(line) OVER w AS prev, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -256,7 +298,25 @@ def oracle_sql() -> dict[str, str]:
       s0 AS (SELECT doc_id, g, any_value(para) AS para, sent, min(place + fo) AS place, string_agg(f, '' ORDER BY k) AS raw FROM f5 GROUP BY doc_id, g, sent),
       s1 AS (SELECT *, regexp_replace(raw, {_re2(f"^[{space}]+")}, '') AS lead FROM s0),
       s AS (SELECT doc_id, para, CAST(place + length(raw) - length(lead) AS INTEGER) AS start, regexp_replace(lead, {_re2(f"[{space}]+" + chr(92) + "z")}, '') AS text FROM s1 WHERE lead <> '')"""
+    script = sentence.replace("string_split(text, chr(10)) AS ls FROM documents", f"string_split({ar}, chr(10)) AS ls FROM documents")
+    with_vectors = lambda most: f"WITH RECURSIVE {script}, {oracles.units(most)}, {oracles.vectors(normal, stem, stop)}"
+    scored = f"{with_vectors(64)}, {oracles.distances()}, {oracles.scores(bias('text'))}"
+    gaps = lambda *kind: f"""{with_vectors(256)}, {oracles.distances()}, {oracles.scores(bias('text'), *kind)}
+      SELECT u.doc_id, CAST(u.unit_idx AS INTEGER) AS unit_idx, round(dist, 6) + 0.0::DOUBLE AS dist, round(score, 6) + 0.0::DOUBLE AS score, round(coalesce(theta, 0), 6) + 0.0::DOUBLE AS theta FROM u LEFT JOIN sc USING (doc_id, unit_idx) LEFT JOIN th ON th.doc_id = u.doc_id"""
     return {
+        "q_units": f"""WITH RECURSIVE {sentence}, {oracles.units(64)} SELECT doc_id, CAST(unit_idx AS INTEGER) AS unit_idx, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", len(regexp_extract_all(text, {word})) AS tokens, paragraph_start FROM u""",
+        "q_features": f"{with_vectors(256)} SELECT doc_id, count(*) AS n_features, sum(tf) AS total_tf FROM feats GROUP BY doc_id",
+        "q_vectors": f"{with_vectors(256)} SELECT u.doc_id, CAST(u.unit_idx AS INTEGER) AS unit_idx, count(*) FILTER (abs(w) > 1e-7) AS n_places, round(coalesce(sum(w), 0), 6) + 0.0::DOUBLE AS total, round(coalesce(sum(bucket * w), 0) / 2048, 6) + 0.0::DOUBLE AS weighed FROM u LEFT JOIN vec USING (doc_id, unit_idx) GROUP BY ALL",
+        "q_gap_scores": gaps(),
+        "q_threshold_std": gaps("std", 0.5),
+        "q_threshold_iqr": gaps("iqr", 1.5),
+        "q_chunks_flat": f"{scored}, {oracles.optimal(16, 64)}, {oracles.chunks()}",
+        "q_chunks_flat_greedy": f"{scored}, {oracles.greedy(16, 64)}, {oracles.chunks()}",
+        "q_chunks_flat_overlap": f"{scored}, {oracles.optimal(16, 64)}, {oracles.chunks(2)}",
+        "q_split_text": f"""{scored}, {oracles.optimal(16, 64)}, {oracles.RANGES} SELECT doc_id, idx AS "index", substr(t, start + 1, stop - start) AS text FROM ct JOIN (SELECT doc_id, {ar} AS t FROM documents) USING (doc_id)""",
+        "q_chunk_quality": f"{scored}, {oracles.optimal(16, 64)}, {oracles.quality(oracles.vectors(normal, stem, stop), f'SELECT doc_id, {ar} AS text FROM documents')}",
+        "q_hierarchical_flat": f"{scored}, {oracles.optimal(64, 256)}, {oracles.children(16, 64)}",
+        "q_children": f"SELECT doc_id, parent_id, count(*) AS n_children FROM ({scored}, {oracles.optimal(64, 256)}, {oracles.children(16, 64)}) GROUP BY doc_id, parent_id",
         "q_sentences": f"""WITH {sentence} SELECT doc_id, start, CAST(start + length(text) AS INTEGER) AS "end", text, row_number() OVER (PARTITION BY doc_id, para ORDER BY start) = 1 AS paragraph_start FROM s""",
         "q_fixed_size": f"""WITH RECURSIVE {sentence}, o AS (SELECT doc_id, start, len(regexp_extract_all(text, {word})) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM s),
           r AS (SELECT doc_id, i, n AS held, FALSE AS cut, start FROM o WHERE i = 1 UNION ALL
@@ -271,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "q_light_stem": f"WITH w AS (SELECT unnest(regexp_extract_all({ar}, {word})) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT word, n, {stem('c.word')} AS stem FROM c",
         "q_stems": f"WITH {stemmed} SELECT d.doc_id, coalesce(string_agg(s, '|' ORDER BY i), '') AS stems FROM documents d LEFT JOIN (SELECT doc_id, i, s FROM words JOIN stemmed USING (w)) USING (doc_id) GROUP BY d.doc_id",
         "q_idf": f"WITH {stemmed}, seen AS (SELECT DISTINCT source, doc_id, s FROM words JOIN stemmed USING (w)), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, s AS stem, count(*) AS df, round(ln((1 + any_value(n)) / (1 + count(*))::DOUBLE) + 1, 6) AS idf FROM seen JOIN n USING (source) GROUP BY source, s",
-        "q_discourse": f"WITH {plain_lines} SELECT doc_id, line_idx, CASE WHEN regexp_matches(line, {_re2(item)}) THEN -0.5 WHEN regexp_matches(substr({normal('line')}, 1, 40), {_re2(opening(L.SHIFT))}) THEN 1.0 WHEN regexp_matches(substr({normal('line')}, 1, 40), {_re2(opening(L.CONTINUE))}) THEN -1.0 ELSE 0.0 END::DOUBLE AS bias FROM l",
+        "q_discourse": f"WITH {plain_lines} SELECT doc_id, line_idx, {bias('line')} AS bias FROM l",
         "q_lines": f"WITH {plain_lines} SELECT doc_id, line_idx, CAST(coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, length(line) AS n_chars FROM l",
         "q_headings": f"WITH {lines} SELECT doc_id, line_idx, start, heading, level FROM l3 WHERE level IS NOT NULL",
         "q_sections": f"""WITH {lines}, s0 AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER w AS raw {path} FROM l3 WINDOW w AS (PARTITION BY doc_id ORDER BY line_idx)),
