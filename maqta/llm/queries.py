@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op4_warc": warc.OP4_SQL}
+    return {"op1_jaccard_join": jaccard.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op4_warc": warc.OP4_SQL}
