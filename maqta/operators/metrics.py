@@ -97,10 +97,11 @@ def chunk_quality(chunks: DataFrame, embedder=HashingEmbedder(), docs: DataFrame
     (doc_id) documents without a chunk have a row too, of 0 chunks and nulls.
     """
     size = F.regexp_count("text", F.lit(f"{NOT_S}+"))
-    coherence = F.avg("coherence") if "coherence" in chunks.columns else F.lit(None).cast("double")
+    # Means of rounded numbers often lie just between two results, so they are taken exactly.
+    coherence = F.avg(F.col("coherence").cast("decimal(12,8)")) if "coherence" in chunks.columns else F.lit(None).cast("double")
     per = chunks.withColumn("size", size).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.bround(F.avg("size"), 1).alias("mean_words"), F.min("size").alias("min_words"), F.max("size").alias("max_words"),
-        F.bround(F.stddev_pop("size") / F.coalesce(F.nullif(F.avg("size"), F.lit(0.0)), F.lit(1.0)), 3).alias("size_cv"), F.bround(coherence, 4).alias("mean_coherence"),
+        F.bround(F.stddev_pop("size") / F.coalesce(F.nullif(F.avg("size"), F.lit(0.0)), F.lit(1.0)), 3).alias("size_cv"), F.bround(coherence, 4).cast("double").alias("mean_coherence"),
     )
     out = per.join(adjacent_similarity(chunks, embedder), "doc_id", "left").withColumn("mean_adjacent_similarity", F.bround("similarity", 4)).drop("similarity")
     return out if docs is None else docs.select("doc_id").join(out, "doc_id", "left").na.fill(0, ["chunks"])

@@ -145,7 +145,7 @@ def quality(vectors_of: str, texts: str) -> str:
       near_chunks AS (WITH u AS (SELECT doc_id, idx AS unit_idx, text FROM chunk), {vectors_of} SELECT c.doc_id, c.unit_idx, coalesce(sum(v.w * z.w), 0) AS p FROM u c JOIN docn USING (doc_id) LEFT JOIN vec v USING (doc_id, unit_idx) LEFT JOIN vec z ON z.doc_id = c.doc_id AND z.unit_idx = c.unit_idx + 1 AND z.bucket = v.bucket WHERE c.unit_idx < n - 1 GROUP BY ALL),
       alike AS (SELECT doc_id, avg(p) AS sim FROM near_chunks GROUP BY doc_id),
       sized AS (SELECT *, len(regexp_extract_all(text, '[^{SPACE}]+')) AS n FROM chunk)
-      SELECT doc_id, count(*) AS chunks, round_even(avg(n), 1) AS mean_words, CAST(min(n) AS INTEGER) AS min_words, CAST(max(n) AS INTEGER) AS max_words, round_even(stddev_pop(n) / coalesce(nullif(avg(n), 0), 1), 3) AS size_cv, round_even(avg(coherence), 4) AS mean_coherence, round_even(any_value(sim), 4) AS mean_adjacent_similarity
+      SELECT doc_id, count(*) AS chunks, round_even(avg(n), 1) AS mean_words, CAST(min(n) AS INTEGER) AS min_words, CAST(max(n) AS INTEGER) AS max_words, round_even(stddev_pop(n) / coalesce(nullif(avg(n), 0), 1), 3) AS size_cv, round_even(sum(CAST(round(coherence * 10000) AS BIGINT))::DOUBLE / count(*), 0) / 10000 AS mean_coherence, round_even(any_value(sim), 4) AS mean_adjacent_similarity
       FROM sized LEFT JOIN alike USING (doc_id) GROUP BY doc_id"""
 
 
