@@ -49,12 +49,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    rows: how many a Python worker is sent at once, fewer where a row may be long.
+    """
     spark = df.sparkSession
     path, key = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         df.write.parquet(path)
     finally:
@@ -179,9 +182,14 @@ def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.n
         return np.zeros(0, np.uint64)
     size = end - start
     first = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(first[-1]) - np.repeat(first[:-1], size)
-    byte = data[place + np.repeat(start, size)]
-    part = values[np.minimum(place, _PLACES - 1) * 256 + byte]
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(first[-1], dtype=small)
+    place -= np.repeat(first[:-1].astype(small), size)
+    byte = data[place + np.repeat(start.astype(small), size)]
+    at = np.minimum(place, _PLACES - 1)
+    at *= 256
+    at += byte
+    part = values[at]
     far = np.flatnonzero(place >= _PLACES)
     if len(far):
         part[far] = mix64(values[byte[far]] ^ (place[far].astype(np.uint64) * GOLDEN))
