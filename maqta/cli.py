@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from maqta.config import ChunkConfig
 from maqta.operators.metrics import chunk_quality
@@ -14,6 +16,7 @@ from maqta.plans.chunker import Chunker
 from maqta.sources import files
 
 
+# Fixed interface: names of options and choices.
 def parser() -> argparse.ArgumentParser:
     d, p = ChunkConfig(), argparse.ArgumentParser(prog="maqta", description="Split Arabic text where its topics change.")
     p.add_argument("file", help="text or Markdown file, or - for standard input")
@@ -32,6 +35,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def pretty(value) -> str:
+    return json.dumps(value, ensure_ascii=False, indent=2)
+
+
+def as_objects(chunks) -> list[dict]:
+    """The chunks of the one document that the command reads, in order."""
+    return [json.loads(r["json"]) for r in files.as_dict(chunks).orderBy("index").collect()]
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -41,18 +53,21 @@ def main(argv: list[str] | None = None) -> int:
     if a.hierarchical:
         tiers = chunker.chunk_hierarchical(docs, a.hierarchical).persist()
         chunks = tiers.where("tier = 'chunk'").drop("tier")
-        print("\n".join(r["json"] for r in files.hierarchical_json(tiers).toLocalIterator()))
+        print(pretty({name: as_objects(tiers.where(F.col("tier") == tier)) for name, tier in (("parents", "parent"), ("children", "chunk"))}))
     else:
-        chunks = chunker.chunk(docs).persist()
+        tiers = chunks = chunker.chunk(docs).persist()
         if a.format == "json":
-            found = [r["json"] for r in files.json_array(chunks).toLocalIterator()] or ["[]"]
+            print(pretty(as_objects(chunks)))
+        elif a.format == "jsonl":
+            for chunk in as_objects(chunks):
+                print(json.dumps(chunk, ensure_ascii=False))
         else:
-            rows = files.as_dict(chunks) if a.format == "jsonl" else files.as_text(chunks)
-            found = (r[2] for r in rows.orderBy("doc_id", "index").toLocalIterator())
-        print("\n".join(found))
+            for row in files.as_text(chunks).orderBy("doc_id", "index").toLocalIterator():
+                print(row["line"])
     if a.stats:
-        for r in chunk_quality(chunks, embedder).drop("doc_id").toLocalIterator():
-            print(r.asDict(), file=sys.stderr)
+        found = chunk_quality(chunks).drop("doc_id").first()
+        print(json.dumps(found.asDict() if found else {"chunks": 0}, ensure_ascii=False), file=sys.stderr)
+    tiers.unpersist()
     return 0
 
 

@@ -52,10 +52,9 @@ def hierarchical_json(tiers: DataFrame) -> DataFrame:
 
 def as_text(chunks: DataFrame) -> DataFrame:
     """doc_id, index, line: a chunk's header and text for people."""
-    score = F.when(F.col("boundary_score").isNull(), F.lit("-")).otherwise(F.format_string("%.4f", "boundary_score"))
-    head = F.format_string("--- [%d] %d-%d  %d tokens, %d sentences, boundary %s, coherence %.4f", "index", "start", "end", "token_count", "sentence_count", score, "coherence")
-    path = F.when(F.size("headings") > 0, F.concat(F.lit("\n"), F.array_join("headings", " › "))).otherwise(F.lit(""))
-    return chunks.select("doc_id", "index", F.concat(head, path, F.lit("\n"), "text", F.lit("\n")).alias("line"))
+    path = F.when(F.size("headings") > 0, F.concat(F.lit(" · "), F.array_join("headings", " › "))).otherwise(F.lit(""))
+    head = F.format_string("── chunk %d · %d tokens%s ──", "index", "token_count", path)  # fixed format
+    return chunks.select("doc_id", "index", F.concat(head, F.lit("\n"), "text", F.lit("\n")).alias("line"))
 
 
 def write_jsonl(chunks: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 
 import numpy as np
@@ -267,6 +268,21 @@ def test_command_line(spark, tmp_path, capsys):
     path.write_text("# مقدمة\nجملة أولى. جملة ثانية.\n", encoding="utf-8")
     assert cli.main([str(path), "--format", "json", "--stats"]) == 0
     said = capsys.readouterr()
-    assert '"token_count" : 4' in said.out and "mean_words" in said.err
+    assert json.loads(said.out)[0]["token_count"] == 4 and json.loads(said.err)["chunks"] == 1
     assert cli.main([str(path), "--hierarchical", "512"]) == 0
-    assert '"parents"' in capsys.readouterr().out
+    found = json.loads(capsys.readouterr().out)
+    assert len(found["parents"]) == 1 and found["children"][0]["parent_id"] == 0
+    assert cli.main([str(path)]) == 0
+    assert capsys.readouterr().out == "── chunk 0 · 4 tokens · مقدمة ──\nجملة أولى. جملة ثانية.\n\n"
+    path.write_text(" \n", encoding="utf-8")
+    assert cli.main([str(path), "--hierarchical", "512", "--stats"]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out) == {"parents": [], "children": []} and json.loads(said.err) == {"chunks": 0}
+
+
+def test_public_names():
+    import maqta
+
+    assert all(getattr(maqta, name) is not None for name in maqta.__all__)
+    with pytest.raises(AttributeError):
+        maqta.no_such_name
