@@ -59,94 +59,130 @@ def unpackbits(data: bytes, most: int) -> bytes:
 
 
 def packbits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i > 2:
-            out += bytes((257 - (j - i), data[i]))
+    """Equal bytes in threes or more as runs, all others literally, at most 128 a packet."""
+    if not data:
+        return b""
+    a = np.frombuffer(data, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+    lengths = np.diff(np.append(starts, len(a)))
+    long = lengths > 2
+    out, i = bytearray(), 0
+
+    def literally(end: int) -> None:
+        nonlocal i
+        while i < end:
+            j = min(i + 128, end)
+            out.append(j - i - 1)
+            out.extend(data[i:j])
             i = j
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+
+    for start, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True):
+        literally(start)
+        while n > 2:
+            m = min(n, 128)
+            out += bytes((257 - m, data[start]))
+            n, i = n - m, i + m
+    literally(len(data))
     return bytes(out)
 
 
+#: TIFF's LZW: codes of 9 to 12 bits, most significant bit first.  The width of a code follows from its place since the last clear.
+CLEAR, END, FIRST_WORD, MOST_WORDS = 256, 257, 258, 4094
+SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
+def code_widths(n: int) -> np.ndarray:
+    """Widths of the first ``n`` codes after a clear."""
+    return np.searchsorted([512 - FIRST_WORD, 1024 - FIRST_WORD, 2048 - FIRST_WORD], np.arange(n), side="right") + 9
+
+
+WIDTHS = code_widths(MOST_WORDS + 2)
+ENDS = np.cumsum(WIDTHS)
+
+
+def codes_of(data: np.ndarray, bit: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from ``bit`` on, and the bits at which they end, as if no clear came; the first is the ``since``-th after one.
+
+    ``data``: the bytes and three of filling.
+    """
+    if since < len(WIDTHS):
+        widths, ends = WIDTHS[since:], ENDS[since:] - (ENDS[since - 1] if since else 0)
+    else:
+        widths, ends = np.full(len(WIDTHS), 12), np.arange(1, len(WIDTHS) + 1) * 12
+    n = int(np.searchsorted(ends, 8 * (len(data) - 3) - bit, side="right"))
+    widths, ends = widths[:n], ends[:n] + bit
+    at = ends - widths
+    byte = at >> 3
+    three = data[byte].astype(np.int32) << 16 | data[byte + 1].astype(np.int32) << 8 | data[byte + 2]
+    return three >> (24 - widths - (at & 7)) & (1 << widths) - 1, ends
+
+
 def unlzw(data: bytes, most: int) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    clear, end = 256, 257
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    words, width, held, bits, out, old = list(first), 9, 0, 0, bytearray(), None
-    for byte in data:
-        held = (held << 8) | byte
-        bits += 8
-        while bits >= width:
-            bits -= width
-            code = (held >> bits) & ((1 << width) - 1)
-            held &= (1 << bits) - 1
-            if code == end or len(out) >= most:
-                return bytes(out[:most])
-            if code == clear:
-                words, width, old = list(first), 9, None
-                continue
-            if old is None:
-                if code > 255:
-                    raise TiffError("LZW code out of range")
+    """The first ``most`` bytes; codes are cut out many at a time, up to the next clear."""
+    filled = np.frombuffer(data + b"\0\0\0", np.uint8)
+    out, total, bit, since = [], 0, 0, 0
+    words, old = list(SINGLE), b""
+    while total < most:
+        codes, ends = codes_of(filled, bit, since)
+        if not len(codes):
+            break
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(stops[0]) if len(stops) else len(codes)
+        n = len(words)
+        for code in codes[:stop].tolist():
+            if code < n:
                 word = words[code]
+            elif code == n and old:
+                word = old + old[:1]
             else:
-                if code > len(words):
-                    raise TiffError("LZW code out of range")
-                word = words[code] if code < len(words) else old + old[:1]
+                raise TiffError("LZW code out of range")
+            if old and n < 4096:
                 words.append(old + word[:1])
-                width = 9 if len(words) < 511 else 10 if len(words) < 1023 else 11 if len(words) < 2047 else 12
-            out += word
+                n += 1
+            out.append(word)
+            total += len(word)
+            if total >= most:
+                break
             old = word
-    return bytes(out[:most])
+        if stop < len(codes):
+            if codes[stop] == END:
+                break
+            bit, since, words, old = int(ends[stop]), 0, list(SINGLE), b""
+        else:
+            bit, since = int(ends[-1]), since + len(codes)
+    return b"".join(out)[:most]
 
 
 def lzw(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append((held >> bits) & 255)
-        held &= (1 << bits) - 1
-
-    def fresh() -> dict[bytes, int]:
-        return {bytes((i,)): i for i in range(256)}
-
-    words, next_code, width, word = fresh(), 258, 9, b""
-    put(256, 9)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in words:
+    codes, runs, begun = [CLEAR], [1], 1
+    words: dict[int, int] = {}
+    find, put, next_code, word = words.get, codes.append, FIRST_WORD, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        key = word << 8 | byte
+        longer = find(key)
+        if longer is not None:
             word = longer
             continue
-        put(words[word], width)
-        words[longer] = next_code
+        put(word)
+        words[key] = next_code
         next_code += 1
-        width = 9 if next_code < 512 else 10 if next_code < 1024 else 11 if next_code < 2048 else 12
-        word = data[i : i + 1]
-        if next_code == 4094:
-            put(words[word], width)
-            put(256, width)
-            words, next_code, width, word = fresh(), 258, 9, b""
-    if word:
-        put(words[word], width)
-        next_code += 1
-        width = 9 if next_code < 512 else 10 if next_code < 1024 else 11 if next_code < 2048 else 12
-    put(257, width)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+        word = byte
+        if next_code == MOST_WORDS:
+            put(word)
+            put(CLEAR)
+            runs.append(len(codes) - begun)
+            words.clear()
+            next_code, word, begun = FIRST_WORD, -1, len(codes)
+    if word >= 0:
+        put(word)
+    put(END)
+    runs.append(len(codes) - begun)
+    widths = np.concatenate([WIDTHS[:n] for n in runs])
+    bits = np.unpackbits((np.array(codes) << 16 - widths).astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16) < widths[:, None]]).tobytes()
 
 
 def undeflate(data: bytes, most: int) -> bytes:

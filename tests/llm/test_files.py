@@ -108,6 +108,48 @@ def test_codecs_round_trip():
             assert tiff.unpackbits(tiff.packbits(data), n // 2) == data[: n // 2] == tiff.unlzw(tiff.lzw(data), n // 2)
 
 
+def plain_lzw_codes(data):
+    """Codes of an LZW stream and their widths, read bit by bit."""
+    bits, at, since, codes = "".join(f"{b:08b}" for b in data), 0, 0, []
+    while not codes or codes[-1] != 257:
+        width = 9 if since < 254 else 10 if since < 766 else 11 if since < 1790 else 12
+        codes.append(int(bits[at : at + width], 2))
+        at, since = at + width, 0 if codes[-1] == 256 else since + 1
+    assert len(bits) - at < 8
+    return codes
+
+
+def test_lzw_by_the_bit():
+    rng = random.Random(5)
+    for data in (b"", b"a", b"a" * 9000, bytes(range(256)) * 3, rng.randbytes(12_000), rng.randbytes(3836), rng.randbytes(3837), rng.randbytes(3838)):
+        words, old, out = {i: bytes((i,)) for i in range(256)}, b"", b""
+        for code in plain_lzw_codes(tiff.lzw(data)):
+            if code == 256:
+                words, old = {i: bytes((i,)) for i in range(256)}, b""
+            elif code != 257:
+                word = words[code] if code in words else old + old[:1]
+                if old:
+                    words[len(words) + 2] = old + word[:1]
+                old, out = word, out + word
+        assert out == data
+        assert tiff.unlzw(tiff.lzw(data), len(data)) == data
+
+
+def test_lzw_without_clears():
+    """A full table stays as it is; codes go on with 12 bits."""
+    data = random.Random(6).randbytes(9000)
+    bits = "".join(f"{b:0{int(w)}b}" for b, w in zip([256, *data, 257], [9, *tiff.WIDTHS, *[12] * 9000], strict=False))
+    packed = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    assert tiff.unlzw(packed, len(data)) == data
+
+
+def test_packbits_runs():
+    for n in (1, 2, 3, 127, 128, 129, 130, 131, 255, 256, 257, 258, 300):
+        for data in (b"x" * n, b"ab" + b"x" * n + b"cd", bytes(range(200)) + b"x" * n + b"y" * 3):
+            assert tiff.unpackbits(tiff.packbits(data), len(data)) == data
+    assert tiff.packbits(b"") == b"" and tiff.packbits(b"x" * 300) == bytes((129, 120, 129, 120, 213, 120))
+
+
 def test_tiles_and_big_endian():
     import struct
 
