@@ -66,8 +66,8 @@ class Encoder:
 
     @staticmethod
     def runs(text: str) -> list[str]:
-        # The tokenizer composes, then folds case letter by letter; where Python's folding is the same, fold at once.
-        if text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text):
+        # The tokenizer composes, then folds case letter by letter; where Python's folding is the same and stays composed, fold at once.
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text):
             if "<|" not in text:
                 text = text.lower()
         if any(c in text for c in ONLY_PYTHON_SPACE):
