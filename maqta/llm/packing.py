@@ -8,6 +8,7 @@ many as hold ``TASK_ITEMS`` bins each; the last round emits all bins.  Partition
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ FAN_IN = 4
 CACHE, KEPT = 600_000, 100_000
 #: White space as the tokenizer's normaliser knows it, where Python's str.split() knows more.
 ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
+#: Marks that the tokenizer always parts from letters before them; "'" may stand with letters and the others in special tokens.
+MARKS = "".join(c for c in string.punctuation if c not in "'<|>")
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -106,14 +109,18 @@ class Encoder:
             self.trim()
             known = self.known
             todo = [r for r in runs if r not in known]
-        # Letters with one mark of punctuation after them have the ids of the letters and of the mark.
-        split = [(r, r[:-1], r[-1]) for r in todo if r[-1] in ".,;:!?" and r[:-1].isalpha()]
-        plain = {r for r in todo if r[-1] not in ".,;:!?" or not r[:-1].isalpha()}
-        plain.update(word for _, word, _ in split)
-        plain.update(mark for _, _, mark in split)
+        # Letters with marks after them have the ids of the letters and of the marks; "İ" folds to a letter and a mark.
+        split, plain = [], set()
+        for r in todo:
+            word = r if r.isalpha() else r.rstrip(MARKS)
+            if word != r and word.isalpha() and "İ" not in word:
+                split.append((r, word, r[len(word) :]))
+                plain.update(split[-1][1:])
+            else:
+                plain.add(r)
         known.update(self._encode([p for p in plain if p not in known]))
-        for r, word, mark in split:
-            known[r] = known[word] + known[mark]
+        for r, word, marks in split:
+            known[r] = known[word] + known[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.runs(t) for t in texts]

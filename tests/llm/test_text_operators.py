@@ -231,6 +231,19 @@ def test_pieces_are_the_tokenizers_ids(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_marks_beside_letters():
+    """A fresh encoder, so no run is known from another text."""
+    rng = random.Random(7)
+    path = packing.public_path()
+    encoder = packing.Encoder(path)
+    marks = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + ["\u0301", "\u0338", "'s", "<|endoftext|>", "…", "«"]
+    letters = ["word", "É", "it", "Σας", "中文", "7", "ße", "ﬁn", "İ"]
+    for _ in range(1500):
+        text = " ".join("".join(rng.choice(letters if rng.random() < 0.5 else marks) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 4)))
+        (got,) = encoder.encode([text])
+        assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     rng, rows, labels = random.Random(7), [], []
