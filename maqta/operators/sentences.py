@@ -25,7 +25,8 @@ MARK, MARK2 = "\ufffe", "\uffff"
 PARAGRAPH = rf"\n[ \t\xa0]*\n{S}*"
 TERMINATOR = rf"{L.TERMINATOR_RUN}{L.CLOSERS}(?={S}|\z|[{L.ARABIC}])"
 LOOK_BACK, LOOK_AHEAD, LINE_BACK = 80, 15, 100
-#: The look at the next character comes first, so that looking back costs nothing elsewhere.
+#: The look at the next character comes first, so that looking back costs nothing elsewhere.  Where the first group
+#: matches, the second may still hold what it matched at an earlier dot that ends nothing.
 _HEAD = rf"(?s)(?=[.…!?؟])(?:(?<=(.{{{LINE_BACK}}}))|(?<=\A(.{{0,{LINE_BACK - 1}}})))"
 CONNECTIVE = rf"{S}(?=[وف]?(?:{'|'.join(c.replace(' ', S + '+') for c in L.CONNECTIVES)}){S})"
 
@@ -109,7 +110,7 @@ def sentences(secs: DataFrame) -> DataFrame:
     groups = line_groups(paragraphs(secs))
     all_of = lambda pattern, n: F.regexp_extract_all("text", F.lit(pattern), F.lit(n))
     parts = groups.withColumn("pieces", F.split("text", TERMINATOR, -1)).withColumn("marks", all_of(f"({TERMINATOR})", 1))
-    parts = parts.withColumn("heads", F.zip_with(all_of(_HEAD + TERMINATOR, 1), all_of(_HEAD + TERMINATOR, 2), lambda a, b: F.concat(a, b)))
+    parts = parts.withColumn("heads", F.zip_with(all_of(_HEAD + TERMINATOR, 1), all_of(_HEAD + TERMINATOR, 2), lambda a, b: F.when(a != "", a).otherwise(b)))
     parts = parts.withColumn("tails", all_of(rf"(?s)(?=[.…!?؟](.{{0,{LOOK_AHEAD}}})){TERMINATOR}", 1))
     ended = F.transform(F.arrays_zip("marks", "heads", "tails"), lambda x: F.when(x["marks"].startswith(".") & ~x["marks"].startswith("...") & _protected(x["heads"], x["tails"]), x["marks"]).otherwise(F.concat(x["marks"], F.lit(MARK))))
     joined = F.array_join(F.transform(F.arrays_zip(F.col("pieces").alias("p"), F.concat(ended, F.array(F.lit(""))).alias("m")), lambda x: F.concat(x["p"], x["m"])), "")

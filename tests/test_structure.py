@@ -79,6 +79,13 @@ def test_abbreviations_decimals_eras(spark):
     assert len(spans(spark, "apples etc. and more. Plums etc. More came.")) == 3
 
 
+def test_a_dot_inside_a_word_leaves_later_dots_alone(spark):
+    early, late = "write to a.b04@mail8.example.com ", "entre que oueau ou elle des " * 5
+    assert [s for s, _ in spans(spark, f"{early}{late}é. Un mot.")] == [f"{early}{late}é. Un mot."]
+    assert [s for s, _ in spans(spark, f"a%b.c {late}fin. Un mot.")] == [f"a%b.c {late}fin.", "Un mot."]
+    assert [s for s, _ in spans(spark, f"😀 {early}😀 {late}é. Un mot.")] == [f"😀 {early}😀 {late}é. Un mot."]
+
+
 def test_wrapped_lines_and_lists(spark):
     found = [s for s, _ in spans(spark, "سطر ملفوف\nيكمل هنا.\n- بند أول\n- بند ثان")]
     assert found == ["سطر ملفوف\nيكمل هنا.", "- بند أول", "- بند ثان"]
