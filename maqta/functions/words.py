@@ -17,30 +17,49 @@ from maqta.functions import text as X
 #: Runs that are kept at most.
 KNOWN = 200_000
 _DROP = re.compile(f"[{L.CONTROLS}{L.DIACRITICS}]")
+_ODD = re.compile(f"[{L.CONTROLS}{L.DIACRITICS}{L.FOLD_FROM}{L.DIGITS_FROM}]")
 _FOLD = str.maketrans(L.FOLD_FROM + L.DIGITS_FROM, L.FOLD_TO + L.DIGITS_TO)
 _MEET = re.compile(f"(?<=[{L.ARABIC}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{L.ARABIC}])")
+_PLAIN = re.compile("[A-Za-z0-9]")
 _TANWEEN = re.compile(rf"(?:اً|ًا)(?![{L.ARABIC}])")
 _WORD, _ARABIC = re.compile(L.WORD), re.compile(f"[{L.ARABIC}]")
 
 
-def _own(pattern: str) -> re.Pattern:
+def own(pattern: str) -> re.Pattern:
     """A pattern of the column expressions in Python's spelling."""
     return re.compile(pattern.replace(r"\z", r"\Z").replace(r"\p{Nd}", r"\d"))
 
 
-_PREFIX, _SUFFIX = _own(X._PREFIX), _own(X._SUFFIX)
-_SHIFT, _CONTINUE, _ITEM = _own(X._SHIFT), _own(X._CONTINUE), _own(X.LIST_ITEM)
+#: Affixes by length, the longest first: the lists hold no affix before a longer one that it could hide.
+_BY_LENGTH = tuple([(n, frozenset(a for a in affixes if len(a) == n)) for n in (4, 3, 2, 1)] for affixes in (L.PREFIXES, L.SUFFIXES))
+_FIRST_OF, _LAST_OF = frozenset(a[0] for a in L.PREFIXES), frozenset(a[-1] for a in L.SUFFIXES)
+_SHIFT, _CONTINUE, _ITEM = own(X._SHIFT), own(X._CONTINUE), own(X.LIST_ITEM)
 _STOP = frozenset(X.STOP)
+#: What an opening starts with, up to a blank or comma: nothing else needs a look at the openings.
+_FIRST = frozenset(re.split("[ ،,]", X._plain(p))[0] for p in (*L.SHIFT, *L.CONTINUE))
+_CUT = re.compile("[،,]")
 
 
 def normal(run: str) -> list[str]:
     """The words, by white space, of a normalised run."""
-    t = _DROP.sub("", unicodedata.normalize("NFKC", run)).translate(_FOLD)
-    return _MEET.sub(" ", t).lower().split()
+    t = unicodedata.normalize("NFKC", run)
+    if _ODD.search(t):
+        t = _DROP.sub("", t).translate(_FOLD)
+    t = _MEET.sub(" ", t) if _PLAIN.search(t) and not t.isascii() else t
+    return t.lower().split()
 
 
 def stem(word: str) -> str:
-    return _SUFFIX.sub(r"\1", _PREFIX.sub("", word)) if _ARABIC.search(word) else word
+    if not _ARABIC.search(word):
+        return word
+    for n, prefixes in _BY_LENGTH[0] if word[0] in _FIRST_OF else ():
+        if word[:n] in prefixes and len(word) >= n + 3:
+            word = word[n:]
+            break
+    for n, suffixes in _BY_LENGTH[1] if word[-1] in _LAST_OF else ():
+        if word[-n:] in suffixes and len(word) >= n + 3:
+            return word[:-n]
+    return word
 
 
 class Runs:
@@ -81,6 +100,8 @@ class Runs:
             return -0.5 * weight
         head = ""
         for w in self.normal_words(text):
+            if not head and _CUT.split(w, maxsplit=1)[0] not in _FIRST:
+                return 0.0
             head = f"{head} {w}" if head else w
             if len(head) >= 40:
                 break

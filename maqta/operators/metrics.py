@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -75,19 +78,35 @@ def to_units(starts: Column, positions: Column) -> Column:
     return _ranks(starts.cast("array<int>"), positions.cast("array<int>"))
 
 
-def adjacent_similarity(chunks: DataFrame, embedder=HashingEmbedder()) -> DataFrame:
-    """doc_id, similarity: mean cosine of neighbouring chunks, their texts embedded anew document by document."""
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text"))).alias("c"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _neighbours(embedder, texts: Iterable[list[str]]) -> Iterable[float | None]:
+    """Mean cosine of the neighbours in each list of texts."""
+    for m in embedder.rows(texts):
+        yield float(np.einsum("ij,ij->i", m[:-1], m[1:]).mean()) if len(m) > 1 else None
+
+
+def adjacent_similarity(rows: DataFrame, embedder=HashingEmbedder()) -> DataFrame:
+    """The columns of ``rows`` with similarity in place of ``texts``, its last one: the mean cosine of neighbouring chunks, embedded anew document by document."""
+    *kept, _ = rows.schema.fields
 
     def run(batches):
-        for batch in bounded(batches):
-            found = []
-            for m in embedder.rows([[c["text"] for c in d] for d in batch.column(1).to_pylist()]):
-                found.append(float((m[:-1] * m[1:]).sum(1).mean()) if len(m) > 1 else None)
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "similarity"])
+        waiting: deque = deque()
+
+        def texts():
+            for batch in bounded(batches):
+                for k, own in enumerate(batch.column(len(kept)).to_pylist()):
+                    waiting.append((batch, k))
+                    yield own
+
+        # A batch is handed on when the last of its rows is done.
+        found = []
+        for similarity in _neighbours(embedder, texts()):
+            batch, k = waiting.popleft()
+            found.append(similarity)
+            if k == batch.num_rows - 1:
+                yield pa.record_batch([*batch.columns[: len(kept)], pa.array(found, pa.float64())], names=[*(f.name for f in kept), "similarity"])
+                found = []
 
-    return rows.mapInArrow(run, f"doc_id {kind}, similarity double")
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("similarity", T.DoubleType())]))
 
 
 def chunk_quality(chunks: DataFrame, embedder=HashingEmbedder(), docs: DataFrame | None = None) -> DataFrame:
@@ -99,9 +118,11 @@ def chunk_quality(chunks: DataFrame, embedder=HashingEmbedder(), docs: DataFrame
     size = F.regexp_count("text", F.lit(f"{NOT_S}+"))
     # Means of rounded numbers often lie just between two results, so they are taken exactly.
     coherence = F.avg(F.col("coherence").cast("decimal(12,8)")) if "coherence" in chunks.columns else F.lit(None).cast("double")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"])
     per = chunks.withColumn("size", size).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.bround(F.avg("size"), 1).alias("mean_words"), F.min("size").alias("min_words"), F.max("size").alias("max_words"),
         F.bround(F.stddev_pop("size") / F.coalesce(F.nullif(F.avg("size"), F.lit(0.0)), F.lit(1.0)), 3).alias("size_cv"), F.bround(coherence, 4).cast("double").alias("mean_coherence"),
+        in_order.alias("texts"),
     )
-    out = per.join(adjacent_similarity(chunks, embedder), "doc_id", "left").withColumn("mean_adjacent_similarity", F.bround("similarity", 4)).drop("similarity")
+    out = adjacent_similarity(per, embedder).withColumn("mean_adjacent_similarity", F.bround("similarity", 4)).drop("similarity")
     return out if docs is None else docs.select("doc_id").join(out, "doc_id", "left").na.fill(0, ["chunks"])

@@ -7,6 +7,7 @@ place of interest, the text is split there, and lengths are summed up to offsets
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -40,6 +41,14 @@ def _lead(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, F.lit(rf"\A{S}+"), F.lit("")))
 
 
+def _narrow(text: Column) -> Column:
+    """Characters beyond 16 bits as others of their kind: looking back, Java's patterns count the latter alone rightly."""
+    wide, out = r"\x{10000}-\x{10ffff}", text
+    for kind, other in ((r"&&\p{L}", "一"), (rf"&&{L.DIGIT}", "0"), ("", "\ufffd")):
+        out = F.regexp_replace(out, F.lit(f"[{wide}{kind}]"), F.lit(other))
+    return F.when(text.rlike(f"[{wide}]"), out).otherwise(text)
+
+
 def paragraphs(secs: DataFrame) -> DataFrame:
     """doc_id, section_idx, para_idx, start, text of sections (doc_id, section_idx, start, body)."""
     marked = F.regexp_replace(_safe(F.col("body")), F.lit(f"({PARAGRAPH})"), F.lit(f"{MARK}$1{MARK2}"))
@@ -110,7 +119,8 @@ def sentences(secs: DataFrame) -> DataFrame:
     groups = line_groups(paragraphs(secs))
     all_of = lambda pattern, n: F.regexp_extract_all("text", F.lit(pattern), F.lit(n))
     parts = groups.withColumn("pieces", F.split("text", TERMINATOR, -1)).withColumn("marks", all_of(f"({TERMINATOR})", 1))
-    parts = parts.withColumn("heads", F.zip_with(all_of(_HEAD + TERMINATOR, 1), all_of(_HEAD + TERMINATOR, 2), lambda a, b: F.when(a != "", a).otherwise(b)))
+    heads = [F.regexp_extract_all(_narrow(F.col("text")), F.lit(_HEAD + TERMINATOR), F.lit(n)) for n in (1, 2)]
+    parts = parts.withColumn("heads", F.zip_with(*heads, lambda a, b: F.when(a != "", a).otherwise(b)))
     parts = parts.withColumn("tails", all_of(rf"(?s)(?=[.…!?؟](.{{0,{LOOK_AHEAD}}})){TERMINATOR}", 1))
     ended = F.transform(F.arrays_zip("marks", "heads", "tails"), lambda x: F.when(x["marks"].startswith(".") & ~x["marks"].startswith("...") & _protected(x["heads"], x["tails"]), x["marks"]).otherwise(F.concat(x["marks"], F.lit(MARK))))
     joined = F.array_join(F.transform(F.arrays_zip(F.col("pieces").alias("p"), F.concat(ended, F.array(F.lit(""))).alias("m")), lambda x: F.concat(x["p"], x["m"])), "")
@@ -125,10 +135,14 @@ def sentences(secs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Length:
-    """How long a text is: a function of the text and, where there is one, the same as a Spark expression."""
+    """How long a text is: a function of the text and, where there is one, the same as a Spark expression.
+
+    places: if given, the sorted places in a text of what is counted, none of which a cut goes through.
+    """
 
     of: Callable[[str], int]
     column: Callable[[Column], Column] | None = None
+    places: Callable[[str], list[int]] | None = None
 
     def measure(self, text: Column | str) -> Column:
         text = F.col(text) if isinstance(text, str) else text
@@ -139,7 +153,7 @@ class Length:
 
 
 _WORDS = re.compile(L.WORD)
-WORDS = Length(lambda t: len(_WORDS.findall(t)), count_words)
+WORDS = Length(lambda t: len(_WORDS.findall(t)), count_words, lambda t: [m.start() for m in _WORDS.finditer(t)])
 CHARACTERS = Length(len, lambda c: F.length(F.coalesce(c, F.lit(""))))
 
 
@@ -159,36 +173,41 @@ def _bare(text: str, a: int, b: int) -> tuple[int, int]:
     return b - len(own.lstrip()), a + len(own.rstrip())
 
 
-def _packed(text: str, parts: list[tuple[int, int]], most: int, of: Callable[[str], int]) -> list[tuple[int, int]]:
+def _packed(parts: list[tuple[int, int]], most: int, size: Callable[[int, int], int]) -> list[tuple[int, int]]:
     """Neighbouring parts put together as long as they fit; a part that is too long stands alone."""
     out: list[tuple[int, int]] = []
     for a, b in parts:
-        if out and of(text[out[-1][0] : b]) <= most:
+        if out and size(out[-1][0], b) <= most:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
     return out
 
 
-def cut_places(text: str, most: int, of: Callable[[str], int]) -> list[tuple[int, int]]:
+def cut_places(text: str, most: int, length: Length) -> list[tuple[int, int]]:
     """Ranges of a text that is longer than ``most``, each of at most that length unless it is one run without white space.
 
     A range is cut at the first kind of place that makes two or more of it, and what is still too long again.
     """
+    if length.places is not None:
+        counted = length.places(text)
+        size = lambda a, b: bisect_left(counted, b) - bisect_left(counted, a)
+    else:
+        size = lambda a, b: length.of(text[a:b])
     todo, out = [(0, len(text))], []
     while todo:
         a, b = _bare(text, *todo.pop())
-        if of(text[a:b]) <= most:
+        if size(a, b) <= most:
             out.append((a, b))
             continue
         for cut in CUTS:
             edges = [a, *(a + m.end() for m in cut.finditer(text[a:b]) if a + m.end() < b), b]
-            parts = _packed(text, [x for x in zip(edges[:-1], edges[1:], strict=True) if text[x[0] : x[1]].strip()], most, of)
+            parts = _packed([x for x in zip(edges[:-1], edges[1:], strict=True) if text[x[0] : x[1]].strip()], most, size)
             if len(parts) > 1:
                 todo += parts[::-1]
                 break
         else:
-            out += _packed(text, [(a + m.start(), a + m.end()) for m in _RUN.finditer(text[a:b])], most, of)
+            out += _packed([(a + m.start(), a + m.end()) for m in _RUN.finditer(text[a:b])], most, size)
     return out
 
 
@@ -199,11 +218,10 @@ def split_long(spans: DataFrame, max_tokens: int, length: Length = WORDS) -> Dat
     run without white space is never cut.  Where a cut may be depends on lengths of all before it, so spans over
     the budget go through a vectorised function; all others never leave the JVM.
     """
-    of = length.of
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def places(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"a": a, "b": b} for a, b in cut_places(t, max_tokens, of)] for t in texts], dtype=object)
+        return pd.Series([None if t is None else [{"a": a, "b": b} for a, b in cut_places(t, max_tokens, length)] for t in texts], dtype=object)
 
     keep = [c for c in spans.columns if c not in ("start", "end", "text", "paragraph_start")]
     found = spans.withColumn("cuts", places(F.when(length.measure("text") > max_tokens, F.col("text"))))

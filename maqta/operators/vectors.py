@@ -8,6 +8,7 @@ serves as the statement of what is computed.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
@@ -24,9 +25,11 @@ from maqta.functions.words import Runs
 DIMENSIONS = 2048
 NGRAMS = (2, 4)
 WORD_WEIGHT = 2.0
-KNOWN_STEMS = 200_000
-#: Cells of a table of units and features that is summed up at once.
-CELLS = 1 << 21
+KNOWN_STEMS, KNOWN_FEATURES = 200_000, 500_000
+#: Features of units, repeats included, that are counted at once.
+CELLS = 1 << 20
+#: Gaps whose windows are summed up at once.
+GAPS = 64
 #: Documents that a Python worker turns into objects at once.
 DOCUMENTS = 32
 
@@ -48,58 +51,152 @@ class HashingEmbedder:
 
     def rows(self, docs: Iterable[list[str]]) -> Iterable[np.ndarray]:
         """A dense matrix of unit rows for each document, which is a list of texts."""
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        runs = Runs()
+        known, runs = Vocabulary(self), Runs()
         for units in docs:
             yield self._matrix([runs.tokens(u or "") for u in units], known)
 
-    def _features(self, token: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers of a tagged token and their weights; "=x" is a stem, "~x" a word of a unit without stems."""
-        if token not in known:
-            if len(known) > KNOWN_STEMS:
-                known.clear()
+    def counts(self, docs: Iterable[list[str]]) -> Iterable[tuple[int, float]]:
+        """For each document how many features its units have, and their weighted counts in all."""
+        known, runs = Vocabulary(self), Runs()
+        for units in docs:
+            tf = known.counted([runs.tokens(u or "") for u in units])[2]
+            yield len(tf), float(tf.sum())
+
+    def _matrix(self, units: list[list[str]], known: Vocabulary | None = None) -> np.ndarray:
+        n = len(units)
+        known = known or Vocabulary(self)
+        unit, feature, tf = known.counted(units)
+        if not len(tf):
+            return np.zeros((n, self.dim))
+        value = known.sign[feature] * (1.0 + np.log(tf))
+        if self.use_idf and n > 1:
+            value *= known.idf(feature, n)
+        return _unit_rows(np.bincount(unit * self.dim + known.bucket[feature], value, n * self.dim).reshape(n, self.dim))
+
+
+class _Numbers(dict):
+    """Numbers of keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _room(column: np.ndarray, n: int) -> np.ndarray:
+    return column if len(column) >= n else np.concatenate([column, np.zeros(max(n, len(column)), column.dtype)])
+
+
+#: Checksums of single bytes, and the state of a checksum after "c:".
+_CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
+_OPENED = np.uint32(zlib.crc32(b"c:") ^ 0xFFFFFFFF)
+#: Characters below this have two bytes at most, and four of them a number of their own as an n-gram.
+_SHORT_CHARACTER, _SHORT_GRAM = 0x800, 4
+
+
+class Vocabulary:
+    """Tokens and features seen by a worker, numbered as they come; features of a token lie side by side in one array.
+
+    "=x" is a stem, "~x" a word of a unit without stems.  Features are told apart by their names, or n-grams by their
+    characters packed into a number.
+    """
+
+    def __init__(self, embedder: HashingEmbedder) -> None:
+        self.embedder = embedder
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens, self.names = _Numbers(), _Numbers()
+        self.first, self.width, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 15, np.int64), 0
+        self.bucket, self.sign, self.weight = np.zeros(1 << 14, np.int64), np.zeros(1 << 14), np.zeros(1 << 14)
+        self.seen = np.zeros(1 << 14, np.int64)
+
+    def _grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner (place in ``words``), packed characters and checksum of each n-gram of words of short characters."""
+        low, high = self.embedder.ngram_range
+        at = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(w) + 2 for w in words])
+        owner, ends = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        lead, tail, two = np.where(at < 0x80, at, 0xC0 | at >> 6), 0x80 | at & 63, at >= 0x80
+        state, code, out = np.full(len(at), _OPENED), np.zeros(len(at), np.int64), []
+        for n in range(1, high + 1):
+            # One more character of what starts at each place.
+            k = n - 1
+            state, code = state[: len(at) - k], code[: len(at) - k] << 11 | at[k:]
+            state = state >> 8 ^ _CRC[(state ^ lead[k:]) & 255]
+            state = np.where(two[k:], state >> 8 ^ _CRC[(state ^ tail[k:]) & 255], state)
+            if n >= low:
+                whole = np.flatnonzero(np.arange(n, len(at) + 1) <= ends[: len(at) - k])
+                out.append((owner[whole], code[whole], ~state[whole]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Numbers for new tokens and the features that they bring."""
+        e, base = self.embedder, len(self.tokens) - len(tokens)
+        owner, keys, crcs, heavy = [], [], [], []
+        short, low, high = [], *e.ngram_range
+        for i, token in enumerate(tokens):
             word = token[1:]
             names = ["w:" + word]
             if token[0] == "=":
-                padded = f" {word} "
-                names += ["c:" + padded[i : i + n] for n in range(self.ngram_range[0], self.ngram_range[1] + 1) for i in range(len(padded) - n + 1)]
-            raw = [x.encode() for x in names]
-            # The checksum places a feature; a second one beside it tells features apart that share a place.
-            ids = np.array([(zlib.adler32(x) << 32) | zlib.crc32(x) for x in raw], np.uint64)
-            weights = np.ones(len(ids))
-            weights[0] = self.word_weight if token[0] == "=" else 1.0
-            known[token] = ids, weights
-        return known[token]
-
-    def _matrix(self, units: list[list[str]], known: dict) -> np.ndarray:
-        n, place = len(units), {}
-        seen = np.array([place.setdefault(t, len(place)) for u in units for t in u], np.int64)
-        if not place:
-            return np.zeros((n, self.dim))
-        parts = [self._features(t, known) for t in place]
-        sizes = np.array([len(p[0]) for p in parts])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        weights = np.concatenate([p[1] for p in parts])
-        features, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        edges = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        step, cells = max(1, CELLS // len(features)), []
-        for lo in range(0, n, step):  # as many units at once as a table of their features may have cells
-            hi = min(n, lo + step)
-            owner = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
-            token = seen[edges[lo] : edges[hi]]
-            width = sizes[token]
-            of = np.arange(width.sum()) + np.repeat(first[token] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
-            tf = np.bincount(np.repeat(owner, width) * len(features) + number[of], weights[of], (hi - lo) * len(features))
-            at = np.flatnonzero(tf)
-            cells.append((at // len(features) + lo, at % len(features), tf[at]))
-        unit, feature, tf = (np.concatenate(x) for x in zip(*cells, strict=True))
-        value = 1.0 + np.log(tf)
-        if self.use_idf and n > 1:
-            value *= (np.log((1 + n) / (1 + np.bincount(feature, minlength=len(features)))) + 1.0)[feature]
-        crc = features & np.uint64(0xFFFFFFFF)
-        sign = np.where(crc >> np.uint64(31), 1.0, -1.0)
-        bucket = (crc % np.uint64(self.dim)).astype(np.int64)
-        return _unit_rows(np.bincount(unit * self.dim + bucket[feature], sign[feature] * value, n * self.dim).reshape(n, self.dim))
+                if 1 <= low <= high <= _SHORT_GRAM and ord(max(word)) < _SHORT_CHARACTER:
+                    short.append(i)
+                else:
+                    padded = f" {word} "
+                    names += ["c:" + padded[k : k + n] for n in range(low, high + 1) for k in range(len(padded) - n + 1)]
+            owner += [i] * len(names)
+            keys += names
+            crcs += [zlib.crc32(x.encode()) for x in names]
+            heavy += [e.word_weight] + [1.0] * (len(names) - 1)
+        owner, crcs, heavy = np.array(owner, np.int64), np.array(crcs, np.uint32), np.array(heavy)
+        if short:
+            of, codes, more = self._grams([tokens[i][1:] for i in short])
+            owner, crcs, heavy = np.concatenate([owner, np.array(short)[of]]), np.concatenate([crcs, more]), np.concatenate([heavy, np.ones(len(of))])
+            keys += codes.tolist()
+        number = np.fromiter(map(self.names.__getitem__, keys), np.int64, len(keys))
+        n = len(self.names)
+        self.bucket, self.sign, self.weight, self.seen = (_room(x, n) for x in (self.bucket, self.sign, self.weight, self.seen))
+        self.bucket[number], self.sign[number], self.weight[number] = crcs % e.dim, np.where(crcs >> 31, 1.0, -1.0), heavy
+        width = np.bincount(owner, minlength=len(tokens))
+        self.first, self.width, self.flat = _room(self.first, base + len(tokens)), _room(self.width, base + len(tokens)), _room(self.flat, self.used + len(number))
+        self.first[base : base + len(tokens)], self.width[base : base + len(tokens)] = self.used + np.cumsum(width) - width, width
+        self.flat[self.used : self.used + len(number)] = number[np.argsort(owner, kind="stable")]
+        self.used += len(number)
+
+    def counted(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """unit, feature and weighted count of each feature of each unit; feature numbers hold until the next call."""
+        if len(self.tokens) > KNOWN_STEMS or len(self.names) > KNOWN_FEATURES:
+            self.clear()
+        before = len(self.tokens)
+        token = np.array([self.tokens[t] for u in units for t in u], np.int64)
+        if not len(token):
+            return token, token, np.zeros(0)
+        if len(self.tokens) > before:
+            self._learn(list(itertools.islice(reversed(self.tokens), len(self.tokens) - before))[::-1])
+        first, every, flat = self.first[token], self.width[token], self.flat
+        owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        upto, found, lo = np.cumsum(every), [], 0
+        while lo < len(token):  # as many units at once as have about CELLS features
+            hi = int(np.searchsorted(upto, upto[lo] + CELLS, "right"))
+            hi = int(np.searchsorted(owner, owner[hi - 1], "right"))
+            width = every[lo:hi]
+            ends = np.cumsum(width)
+            place = np.arange(ends[-1]) + np.repeat(first[lo:hi] - ends + width, width)
+            key = np.repeat(owner[lo:hi] << 32, width) | flat[place]
+            key.sort()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found.append((key[at], np.diff(at, append=len(key))))
+            lo = hi
+        key, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        unit, feature = key >> 32, key & 0xFFFFFFFF
+        bare = np.array([bool(u) and u[0][0] == "~" for u in units])
+        weight = self.weight[feature]
+        return unit, feature, times * (np.where(bare[unit], 1.0, weight) if bare.any() else weight)
+
+    def idf(self, feature: np.ndarray, n: int) -> np.ndarray:
+        """Of each of a document's features, which are as many as its units hold them; n: units."""
+        self.seen[feature] = 0
+        np.add.at(self.seen, feature, 1)
+        return (np.log((1 + n) / (1 + np.arange(n + 1))) + 1.0)[self.seen[feature]]
 
 
 @dataclass(frozen=True)
@@ -157,7 +254,7 @@ class MemoisingEmbedder:
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
     norm[norm == 0] = 1
     return m / norm
 
@@ -171,18 +268,25 @@ def tokens_column(text: str = "text", compose: bool = True):
 
 def context_distance(v: np.ndarray, sections: np.ndarray, window: int) -> list[float | None]:
     """Cosine distance between the mean vectors of up to ``window`` units before and after each gap, none where sections meet."""
-    n = len(v)
-    if n < 2:
-        return []
-    total = np.vstack([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
-    i = np.arange(n - 1)
-    first = np.searchsorted(sections, sections, "left")
-    last = np.searchsorted(sections, sections, "right")
-    left = total[i + 1] - total[np.maximum(i + 1 - window, first[i])]
-    right = total[np.minimum(i + 1 + window, last[i + 1])] - total[i + 1]
-    norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-    cos = (left * right).sum(1) / np.where(norm == 0, 1, norm)
-    return [None if a != b else 1.0 - float(c) if d > 0 else 1.0 for a, b, c, d in zip(sections[:-1], sections[1:], cos, norm, strict=True)]
+    out: list[float | None] = []
+    opens = np.flatnonzero(np.concatenate([[True], sections[1:] != sections[:-1]])).tolist() if len(v) else []
+    for a, b in zip(opens, [*opens[1:], len(v)], strict=True):
+        for lo in range(a, b - 1, GAPS):
+            m = min(GAPS, b - 1 - lo)
+            # Rows from the first gap's window to the last one's, with rows of 0 beyond the section.
+            below, above = max(a, lo - window + 1), min(b, lo + m + window)
+            rows = np.zeros((m + 2 * window - 1, v.shape[1]))
+            rows[below - (lo - window + 1) :][: above - below] = v[below:above]
+            sums = rows[: m + window].copy()
+            for k in range(1, window):
+                sums += rows[k : k + m + window]
+            norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+            norm = norm[:m] * norm[window:]
+            cos = np.einsum("ij,ij->i", sums[:m], sums[window:]) / np.where(norm == 0, 1, norm)
+            out += np.where(norm > 0, 1.0 - cos, 1.0).tolist()
+        if b < len(v):
+            out.append(None)
+    return out
 
 
 def document_rows(units: DataFrame, *columns) -> DataFrame:

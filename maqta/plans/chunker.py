@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from maqta.config import ChunkConfig
 from maqta.operators.segments import CHUNK_COLUMNS, chunks_of
-from maqta.operators.sentences import Length, as_length, sentences, split_long
-from maqta.operators.structure import sections
+from maqta.operators.sentences import Length, as_length
 from maqta.operators.vectors import HashingEmbedder
 
 
@@ -28,10 +27,7 @@ class Chunker:
         self.length = as_length(length_function)
 
     def _tiers(self, docs: DataFrame, config: ChunkConfig) -> DataFrame:
-        # One exchange, which the units and the texts that chunks are cut from both read; all that follows is document by document.
-        docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
-        units = split_long(sentences(sections(docs, config.respect_structure)), config.max_tokens, self.length)
-        return chunks_of(units, docs, config, self.embedder, self.length)
+        return chunks_of(docs, config, self.embedder, self.length)
 
     def chunk(self, docs: DataFrame) -> DataFrame:
         """Chunks of every document, ``CHUNK_COLUMNS``."""
