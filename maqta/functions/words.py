@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 from maqta.functions import lexicon as L
 from maqta.functions import text as X
@@ -62,12 +63,21 @@ def stem(word: str) -> str:
     return word
 
 
+class _Stems(dict):
+    """Tagged stems of runs, worked out when first asked for."""
+
+    def __missing__(self, run: str) -> list[str]:
+        words = _WORD.findall(" ".join(normal(_TANWEEN.sub("", run))))
+        self[run] = found = ["=" + stem(w) for w in words if w not in _STOP]
+        return found
+
+
 class Runs:
     """Normal forms and stems of runs seen by this worker."""
 
     def __init__(self) -> None:
         self.normal: dict[str, list[str]] = {}
-        self.stems: dict[str, list[str]] = {}
+        self.stems = _Stems()
 
     def normal_words(self, text: str) -> Iterator[str]:
         if len(self.normal) > KNOWN:
@@ -79,20 +89,16 @@ class Runs:
             yield from found
 
     def stems_of(self, text: str) -> list[str]:
+        return [t[1:] for t in self._tagged(text)]
+
+    def _tagged(self, text: str) -> list[str]:
         if len(self.stems) > KNOWN:
             self.stems.clear()
-        out: list[str] = []
-        for run in text.split():
-            found = self.stems.get(run)
-            if found is None:
-                words = _WORD.findall(" ".join(normal(_TANWEEN.sub("", run))))
-                found = self.stems[run] = [stem(w) for w in words if w not in _STOP]
-            out += found
-        return out
+        return list(chain.from_iterable(map(self.stems.__getitem__, text.split())))
 
     def tokens(self, text: str) -> list[str]:
         """A unit's tagged tokens: its stems ("=x"), or the words of its normalised text ("~x") if it has no stem."""
-        return ["=" + w for w in self.stems_of(text)] or ["~" + w for w in self.normal_words(text)]
+        return self._tagged(text) or ["~" + w for w in self.normal_words(text)]
 
     def discourse_bias(self, text: str, weight: float) -> float:
         """How much a unit's opening speaks for a break before it."""

@@ -8,6 +8,7 @@ serves as the statement of what is computed.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Callable, Iterable, Sequence
@@ -29,7 +30,7 @@ KNOWN_STEMS, KNOWN_FEATURES = 200_000, 500_000
 #: Features of units, repeats included, that are counted at once.
 CELLS = 1 << 20
 #: Gaps whose windows are summed up at once.
-GAPS = 64
+GAPS = 16
 #: Documents that a Python worker turns into objects at once.
 DOCUMENTS = 32
 
@@ -51,13 +52,13 @@ class HashingEmbedder:
 
     def rows(self, docs: Iterable[list[str]]) -> Iterable[np.ndarray]:
         """A dense matrix of unit rows for each document, which is a list of texts."""
-        known, runs = Vocabulary(self), Runs()
+        known, runs = _known(self)
         for units in docs:
             yield self._matrix([runs.tokens(u or "") for u in units], known)
 
     def counts(self, docs: Iterable[list[str]]) -> Iterable[tuple[int, float]]:
         """For each document how many features its units have, and their weighted counts in all."""
-        known, runs = Vocabulary(self), Runs()
+        known, runs = _known(self)
         for units in docs:
             tf = known.counted([runs.tokens(u or "") for u in units])[2]
             yield len(tf), float(tf.sum())
@@ -74,6 +75,12 @@ class HashingEmbedder:
         return _unit_rows(np.bincount(unit * self.dim + known.bucket[feature], value, n * self.dim).reshape(n, self.dim))
 
 
+@functools.lru_cache(maxsize=2)
+def _known(embedder: HashingEmbedder) -> tuple[Vocabulary, Runs]:
+    """What a Python worker has learnt, which it keeps from task to task."""
+    return Vocabulary(embedder), Runs()
+
+
 class _Numbers(dict):
     """Numbers of keys in the order in which they are first asked for."""
 
@@ -159,7 +166,7 @@ class Vocabulary:
         width = np.bincount(owner, minlength=len(tokens))
         self.first, self.width, self.flat = _room(self.first, base + len(tokens)), _room(self.width, base + len(tokens)), _room(self.flat, self.used + len(number))
         self.first[base : base + len(tokens)], self.width[base : base + len(tokens)] = self.used + np.cumsum(width) - width, width
-        self.flat[self.used : self.used + len(number)] = number[np.argsort(owner, kind="stable")]
+        self.flat[self.used : self.used + len(number)] = number[np.argsort(owner.astype(np.uint16) if len(tokens) <= 1 << 16 else owner, kind="stable")]
         self.used += len(number)
 
     def counted(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,13 +174,14 @@ class Vocabulary:
         if len(self.tokens) > KNOWN_STEMS or len(self.names) > KNOWN_FEATURES:
             self.clear()
         before = len(self.tokens)
-        token = np.array([self.tokens[t] for u in units for t in u], np.int64)
+        sizes = [len(u) for u in units]
+        token = np.fromiter(map(self.tokens.__getitem__, itertools.chain.from_iterable(units)), np.int64, sum(sizes))
         if not len(token):
             return token, token, np.zeros(0)
         if len(self.tokens) > before:
             self._learn(list(itertools.islice(reversed(self.tokens), len(self.tokens) - before))[::-1])
         first, every, flat = self.first[token], self.width[token], self.flat
-        owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        owner = np.repeat(np.arange(len(units)), sizes)
         upto, found, lo = np.cumsum(every), [], 0
         while lo < len(token):  # as many units at once as have about CELLS features
             hi = int(np.searchsorted(upto, upto[lo] + CELLS, "right"))
