@@ -63,12 +63,20 @@ def stem(word: str) -> str:
     return word
 
 
+def tagged(runs: list[str]) -> list[list[str]]:
+    """The tagged stems of each run.  Nothing looks across line feeds, so many runs are normalised as one text."""
+    t = unicodedata.normalize("NFKC", _TANWEEN.sub("", "\n".join(runs)))
+    if _ODD.search(t):
+        t = _DROP.sub("", t).translate(_FOLD)
+    t = _MEET.sub(" ", t) if not t.isascii() else t
+    return [["=" + stem(w) for w in _WORD.findall(line) if w not in _STOP] for line in t.lower().split("\n")]
+
+
 class _Stems(dict):
     """Tagged stems of runs, worked out when first asked for."""
 
     def __missing__(self, run: str) -> list[str]:
-        words = _WORD.findall(" ".join(normal(_TANWEEN.sub("", run))))
-        self[run] = found = ["=" + stem(w) for w in words if w not in _STOP]
+        self[run] = found = tagged([run])[0]
         return found
 
 
@@ -78,6 +86,8 @@ class Runs:
     def __init__(self) -> None:
         self.normal: dict[str, list[str]] = {}
         self.stems = _Stems()
+        #: Whether a run, at the start of a unit, rules an opening out.
+        self.silent: dict[str, bool] = {}
 
     def normal_words(self, text: str) -> Iterator[str]:
         if len(self.normal) > KNOWN:
@@ -104,6 +114,9 @@ class Runs:
         """How much a unit's opening speaks for a break before it."""
         if _ITEM.match(text):
             return -0.5 * weight
+        run = text.split(None, 1)[:1]
+        if run and self._silent(run[0]):
+            return 0.0
         head = ""
         for w in self.normal_words(text):
             if not head and _CUT.split(w, maxsplit=1)[0] not in _FIRST:
@@ -113,3 +126,12 @@ class Runs:
                 break
         head = head[:40]
         return weight if _SHIFT.match(head) else -weight if _CONTINUE.match(head) else 0.0
+
+    def _silent(self, run: str) -> bool:
+        found = self.silent.get(run)
+        if found is None:
+            if len(self.silent) > KNOWN:
+                self.silent.clear()
+            words = normal(run)
+            found = self.silent[run] = bool(words) and _CUT.split(words[0], maxsplit=1)[0] not in _FIRST
+        return found

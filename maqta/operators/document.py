@@ -108,7 +108,7 @@ def groups_of(body: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
         at = m.end() if m else at
 
 
-_DOT, _TERMINATOR = re.compile("[.…!?؟]"), own(B.TERMINATOR)
+_TERMINATOR = own(B.TERMINATOR)
 _AND_SO_ON, _ERA, _YEAR_ERA, _NUMBER = map(own, (B._AND_SO_ON, B._ERA, B._YEAR_ERA, B._NUMBER))
 #: Python has no class for letters alone; what the group holds is looked at.
 _SHORT = own(B._SHORT.replace(r"\p{L}", r"([^\W\d_])"))
@@ -160,19 +160,13 @@ class Sentences:
         for groups in groups_of(body):
             opens = True
             for base, text in groups:
-                at = pos = 0
-                while at < len(text):
-                    m = _DOT.search(text, pos)
+                at = 0
+                for m in [*_TERMINATOR.finditer(text), None]:
+                    end = len(text)
                     if m:
-                        dot = m.start()
-                        m = _TERMINATOR.match(text, dot)
-                        if not m:
-                            pos = dot + 1
-                            continue
-                        pos = m.end()
+                        dot, end = m.span()
                         if text[dot] == "." and not text.startswith("...", dot) and self.protected(text, dot):
                             continue
-                    end = pos if m else len(text)
                     raw = text[at:end]
                     lead = raw.lstrip()
                     if lead:

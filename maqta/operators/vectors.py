@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maqta.functions.text import NOT_S, normalize_arabic, stems
-from maqta.functions.words import Runs
+from maqta.functions.words import Runs, tagged
 
 DIMENSIONS = 2048
 NGRAMS = (2, 4)
 WORD_WEIGHT = 2.0
-KNOWN_STEMS, KNOWN_FEATURES = 200_000, 500_000
+KNOWN_RUNS, KNOWN_STEMS, KNOWN_FEATURES = 400_000, 400_000, 800_000
+#: Documents, and characters of them, whose words are looked up at once.
+TOGETHER, CHARACTERS = 16, 1 << 20
+#: Squares of lengths of sums of unit rows below this are those of rows that cancel out.
+NOTHING = 1e-13
 #: Features of units, repeats included, that are counted at once.
 CELLS = 1 << 20
 #: Gaps whose windows are summed up at once.
@@ -52,27 +56,134 @@ class HashingEmbedder:
 
     def rows(self, docs: Iterable[list[str]]) -> Iterable[np.ndarray]:
         """A dense matrix of unit rows for each document, which is a list of texts."""
-        known, runs = _known(self)
-        for units in docs:
-            yield self._matrix([runs.tokens(u or "") for u in units], known)
+        for found in self.sparse_rows(docs):
+            yield found.dense()
+
+    def sparse_rows(self, docs: Iterable[list[str]]) -> Iterable[SparseRows]:
+        """The same rows by what is not 0 in them."""
+        for n, found in self._counted(docs):
+            yield self._sparse(n, *found)
 
     def counts(self, docs: Iterable[list[str]]) -> Iterable[tuple[int, float]]:
         """For each document how many features its units have, and their weighted counts in all."""
-        known, runs = _known(self)
-        for units in docs:
-            tf = known.counted([runs.tokens(u or "") for u in units])[2]
+        for _, (_, _, tf, _) in self._counted(docs):
             yield len(tf), float(tf.sum())
 
+    def _counted(self, docs: Iterable[list[str]]) -> Iterable[tuple[int, tuple]]:
+        known, runs = _known(self)
+        for group in _groups(docs):
+            texts = [u or "" for units in group for u in units]
+            numbers, ends = known.numbered(texts, runs)
+            at = 0
+            for units in group:
+                yield len(units), (*known.counted(numbers, ends[at : at + len(units) + 1], at), known)
+                at += len(units)
+
+    def _sparse(self, n: int, unit: np.ndarray, feature: np.ndarray, tf: np.ndarray, known: Vocabulary) -> SparseRows:
+        few = len(tf) and tf.max() < len(_LOGS) and float(self.word_weight).is_integer()
+        value = known.sign[feature] * (_LOGS[tf.astype(np.int64)] if few else 1.0 + np.log(tf))
+        if self.use_idf and n > 1 and len(tf):
+            value *= known.idf(feature, n)
+        return SparseRows.of(n, self.dim, unit, known.bucket[feature], value)
+
     def _matrix(self, units: list[list[str]], known: Vocabulary | None = None) -> np.ndarray:
-        n = len(units)
+        """A dense matrix for units that are lists of tagged tokens."""
         known = known or Vocabulary(self)
-        unit, feature, tf = known.counted(units)
-        if not len(tf):
-            return np.zeros((n, self.dim))
-        value = known.sign[feature] * (1.0 + np.log(tf))
-        if self.use_idf and n > 1:
-            value *= known.idf(feature, n)
-        return _unit_rows(np.bincount(unit * self.dim + known.bucket[feature], value, n * self.dim).reshape(n, self.dim))
+        numbers, ends = known.of_tokens(units)
+        return self._sparse(len(units), *known.counted(numbers, ends), known).dense()
+
+
+def _groups(docs: Iterable[list[str]]) -> Iterable[list[list[str]]]:
+    """Neighbouring documents whose words are looked up at once."""
+    group, size = [], 0
+    for units in docs:
+        group.append(units)
+        size += sum(len(u or "") for u in units)
+        if len(group) >= TOGETHER or size >= CHARACTERS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _runs_of(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+class SparseRows:
+    """Rows of length 1 (or 0) of a document's ``n`` units by what is not 0 in them: unit, place and weight, ordered by place and then unit."""
+
+    def __init__(self, n: int, dim: int, unit: np.ndarray, place: np.ndarray, weight: np.ndarray) -> None:
+        self.n, self.dim, self.unit, self.place, self.weight = n, dim, unit, place, weight
+
+    @classmethod
+    def of(cls, n: int, dim: int, unit: np.ndarray, place: np.ndarray, value: np.ndarray) -> SparseRows:
+        """Values of one unit and place are added up, and rows are brought to length 1."""
+        if not len(value):
+            return cls(n, dim, unit, place, value)
+        key = place * n + unit
+        bits = len(value).bit_length()
+        order = key << bits | np.arange(len(key))  # sorted as one number: faster than sorting places
+        order.sort()
+        at = _runs_of(order >> bits)
+        value = np.add.reduceat(value[order & (1 << bits) - 1], at)
+        key = order[at] >> bits
+        if not value.all():
+            key, value = key[value != 0], value[value != 0]
+        place, unit = np.divmod(key, n)
+        norm = np.sqrt(np.bincount(unit, value * value, n))
+        return cls(n, dim, unit, place, value / norm[unit])
+
+    def __len__(self) -> int:
+        return self.n
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, self.dim))
+        out[self.unit, self.place] = self.weight
+        return out
+
+    def lengths(self, starts: list[int]) -> np.ndarray:
+        """Length of the sum of the rows from each start up to the next."""
+        piece = np.repeat(np.arange(len(starts)), np.diff([*starts, self.n]))[self.unit]
+        at = _runs_of(self.place * len(starts) + piece)
+        if not len(at):
+            return np.zeros(len(starts))
+        total = np.add.reduceat(self.weight, at)
+        return np.sqrt(np.bincount(piece[at], total * total, len(starts)))
+
+    def distances(self, sections: np.ndarray, window: int) -> np.ndarray:
+        """``context_distance`` of these rows, no number where sections meet.
+
+        Sums of windows are never made: their lengths and products add up from products of rows that are less than two
+        windows apart.
+        """
+        if not self.n:
+            return np.zeros(0)
+        reach = 2 * window - 1
+        opens = np.concatenate([[False], sections[1:] != sections[:-1]])
+        # Rows of 0 before, between and after sections: no window holds rows of two.
+        at = np.arange(self.n) + reach * np.cumsum(opens) + reach
+        size = int(at[-1]) + 1 + reach
+        row, weight = at[self.unit], self.weight
+        key = self.place * (size + reach) + row
+        near = np.bincount(row, weight * weight, (reach + 1) * size)
+        for lag in range(1, min(reach, len(key) - 1) + 1):
+            apart = key[lag:] - key[:-lag]
+            k = np.flatnonzero(apart <= reach)
+            near += np.bincount(apart[k] * size + row[k], weight[k] * weight[k + lag], (reach + 1) * size)
+        near = near.reshape(reach + 1, size)
+        gap = at[:-1]
+        # Square of the length of the window that starts at each place, and products of those on both sides of a gap.
+        whole = size - window + 1
+        square = sum(near[k, s : s + whole] * (2.0 if k else 1.0) for k in range(window) for s in range(window - k))
+        square[square < NOTHING] = 0.0
+        norm = np.sqrt(square)
+        norm = norm[gap - window + 1] * norm[gap + 1]
+        both = sum(near[s + r][gap - s] for s in range(window) for r in range(1, window + 1)) if len(gap) else np.zeros(0)
+        out = np.where(norm > 0, 1.0 - both / np.where(norm == 0, 1, norm), 1.0)
+        out[opens[1:]] = np.nan
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -89,6 +200,11 @@ class _Numbers(dict):
         return number
 
 
+def _latest(numbers: _Numbers, before: int) -> list[str]:
+    """The keys from the number ``before`` on."""
+    return list(itertools.islice(reversed(numbers), len(numbers) - before))[::-1]
+
+
 def _room(column: np.ndarray, n: int) -> np.ndarray:
     return column if len(column) >= n else np.concatenate([column, np.zeros(max(n, len(column)), column.dtype)])
 
@@ -96,6 +212,8 @@ def _room(column: np.ndarray, n: int) -> np.ndarray:
 #: Checksums of single bytes, and the state of a checksum after "c:".
 _CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
 _OPENED = np.uint32(zlib.crc32(b"c:") ^ 0xFFFFFFFF)
+#: 1 + log of small counts.
+_LOGS = 1.0 + np.log(np.maximum(np.arange(256), 1))
 #: Characters below this have two bytes at most, and four of them a number of their own as an n-gram.
 _SHORT_CHARACTER, _SHORT_GRAM = 0x800, 4
 
@@ -116,6 +234,8 @@ class Vocabulary:
         self.first, self.width, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 15, np.int64), 0
         self.bucket, self.sign, self.weight = np.zeros(1 << 14, np.int64), np.zeros(1 << 14), np.zeros(1 << 14)
         self.seen = np.zeros(1 << 14, np.int64)
+        #: Runs of characters without white space; " x" is the word x of a unit without stems.
+        self.runs, self.run_first, self.run_width = _Numbers(), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def _grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner (place in ``words``), packed characters and checksum of each n-gram of words of short characters."""
@@ -169,34 +289,92 @@ class Vocabulary:
         self.flat[self.used : self.used + len(number)] = number[np.argsort(owner.astype(np.uint16) if len(tokens) <= 1 << 16 else owner, kind="stable")]
         self.used += len(number)
 
-    def counted(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """unit, feature and weighted count of each feature of each unit; feature numbers hold until the next call."""
-        if len(self.tokens) > KNOWN_STEMS or len(self.names) > KNOWN_FEATURES:
+    def _forget(self) -> None:
+        if len(self.runs) > KNOWN_RUNS or len(self.tokens) > KNOWN_STEMS or len(self.names) > KNOWN_FEATURES:
             self.clear()
+
+    def _token_numbers(self, tokens: list[str]) -> np.ndarray:
         before = len(self.tokens)
-        sizes = [len(u) for u in units]
-        token = np.fromiter(map(self.tokens.__getitem__, itertools.chain.from_iterable(units)), np.int64, sum(sizes))
-        if not len(token):
-            return token, token, np.zeros(0)
+        token = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
         if len(self.tokens) > before:
-            self._learn(list(itertools.islice(reversed(self.tokens), len(self.tokens) - before))[::-1])
-        first, every, flat = self.first[token], self.width[token], self.flat
-        owner = np.repeat(np.arange(len(units)), sizes)
+            self._learn(_latest(self.tokens, before))
+        return token
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Features of new runs, which are those of their tokens one after another."""
+        base = len(self.runs) - len(runs)
+        found = iter(tagged([r for r in runs if r[0] != " "]))
+        found = [["~" + r[1:]] if r[0] == " " else next(found) for r in runs]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        token = self._token_numbers(list(itertools.chain.from_iterable(found)))
+        first, width = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        at = np.cumsum(sizes) - sizes
+        one = sizes == 1
+        first[one], width[one] = self.first[token[at[one]]], self.width[token[at[one]]]
+        for k in np.flatnonzero(sizes > 1).tolist():
+            own = token[at[k] : at[k] + sizes[k]]
+            flat = np.concatenate([self.flat[a : a + n] for a, n in zip(self.first[own].tolist(), self.width[own].tolist(), strict=True)])
+            self.flat = _room(self.flat, self.used + len(flat))
+            self.flat[self.used : self.used + len(flat)] = flat
+            first[k], width[k] = self.used, len(flat)
+            self.used += len(flat)
+        n = len(self.runs)
+        self.run_first, self.run_width = _room(self.run_first, n), _room(self.run_width, n)
+        self.run_first[base:n], self.run_width[base:n] = first, width
+
+    def _run_numbers(self, split: list[list[str]], sizes: np.ndarray) -> np.ndarray:
+        before = len(self.runs)
+        run = np.fromiter(map(self.runs.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if len(self.runs) > before:
+            self._learn_runs(_latest(self.runs, before))
+        return run
+
+    def numbered(self, texts: list[str], words: Runs) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """first and width of the features of each run of each text, and which texts have no stem, whose words count instead; where each
+        text's runs start, and the end.  All this holds until the next call."""
+        self._forget()
+        # No word holds a dot or comma, and no rule looks across one: without them there are half as many runs to know.
+        split = [t.replace(",", " ").replace(".", " ").split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        run = self._run_numbers(split, sizes)
+        held = np.bincount(np.repeat(np.arange(len(split)), sizes), self.run_width[run], len(split))
+        bare = held == 0
+        if bare.any():
+            for k in np.flatnonzero(bare).tolist():
+                split[k] = [" " + w for w in words.normal_words(texts[k])]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            run = self._run_numbers(split, sizes)
+        return (self.run_first[run], self.run_width[run], bare), np.concatenate([[0], np.cumsum(sizes)])
+
+    def of_tokens(self, units: list[list[str]]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """The same of units that are lists of tagged tokens."""
+        self._forget()
+        sizes = np.array([len(u) for u in units], np.int64)
+        token = self._token_numbers(list(itertools.chain.from_iterable(units)))
+        return (self.first[token], self.width[token], np.array([bool(u) and u[0][0] == "~" for u in units], bool)), np.concatenate([[0], np.cumsum(sizes)])
+
+    def counted(self, numbers: tuple[np.ndarray, np.ndarray, np.ndarray], ends: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """unit, feature and weighted count of each feature of each of the units from ``at`` on, whose runs are bounded by ``ends``."""
+        lo, hi = int(ends[0]), int(ends[-1])
+        first, every, bare, flat = numbers[0][lo:hi], numbers[1][lo:hi], numbers[2][at : at + len(ends) - 1], self.flat
+        if not every.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         upto, found, lo = np.cumsum(every), [], 0
-        while lo < len(token):  # as many units at once as have about CELLS features
-            hi = int(np.searchsorted(upto, upto[lo] + CELLS, "right"))
+        while lo < len(first):  # as many units at once as have about CELLS features
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CELLS, "right")))
             hi = int(np.searchsorted(owner, owner[hi - 1], "right"))
             width = every[lo:hi]
             ends = np.cumsum(width)
             place = np.arange(ends[-1]) + np.repeat(first[lo:hi] - ends + width, width)
             key = np.repeat(owner[lo:hi] << 32, width) | flat[place]
             key.sort()
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            found.append((key[at], np.diff(at, append=len(key))))
+            if len(key):
+                at = _runs_of(key)
+                found.append((key[at], np.concatenate([at[1:], [len(key)]]) - at))
             lo = hi
-        key, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        key, times = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
         unit, feature = key >> 32, key & 0xFFFFFFFF
-        bare = np.array([bool(u) and u[0][0] == "~" for u in units])
         weight = self.weight[feature]
         return unit, feature, times * (np.where(bare[unit], 1.0, weight) if bare.any() else weight)
 

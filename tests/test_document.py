@@ -111,3 +111,41 @@ def test_scores_and_features_take_one_pass_over_texts(spark):
 def test_quality_chunks_once(spark):
     df = metrics.chunk_quality(Chunker(respect_structure=False).chunk(frame(spark, ["x"])))
     assert _plan(df).count("MapInArrow") == 2 and "Join" not in _plan(df)
+
+
+def test_sparse_rows_give_the_distances_and_lengths_of_dense_ones():
+    texts = [t for t in odd_texts(80) if t] + ["one. two, one.\n\n" * 40, "... !!", "a.b,c", "İ. ΑΣ.Α x"]
+    embedder, found = vectors.HashingEmbedder(), document.Sentences()
+    docs = [d for d in (found.units(t, 8, True, WORDS) for t in texts) if d]
+    sparse = list(embedder.sparse_rows([u.text for u in d] for d in docs))
+    for d, rows in zip(docs, sparse, strict=True):
+        tokens = words.Runs()
+        dense, sections = embedder._matrix([tokens.tokens(u.text) for u in d]), np.array([u.section_idx for u in d])
+        assert np.abs(rows.dense() - dense).max() < 1e-12
+        for window in (1, 2, 3, 5):
+            want = np.array(vectors.context_distance(dense, sections, window), np.float64)
+            assert np.allclose(rows.distances(sections, window), want, atol=1e-12, equal_nan=True)
+        starts = list(range(0, len(d), 3))
+        assert np.allclose(segments.coherence(rows, starts), segments.coherence(dense, starts), atol=1e-12)
+
+
+def test_runs_of_many_texts_are_stemmed_as_one_by_one():
+    runs = [r for t in [*odd_texts(150), "كتابًا, كتابًا.ب 3عام عام3 ﷺ"] for r in t.split()]
+    assert words.tagged(runs) == [words.tagged([r])[0] for r in runs]
+    assert words.tagged(["a.b,c"])[0] == ["=a", "=b", "=c"]
+
+
+def test_cuts_with_many_candidates_are_those_of_arrays(monkeypatch):
+    rng = random.Random(9)
+    runs = [([rng.choice([0, 1, 1, 2, 30]) for _ in range(n)], [rng.choice([-1.0, 0.0, 0.25, 0.5]) for _ in range(n - 1)]) for n in (70, 200) for _ in range(30)]
+    cut = lambda: [segments.optimal_cuts(np.array(t), np.array(g), 16, 150, 100.0) for t, g in runs]
+    found = cut()
+    monkeypatch.setattr(segments, "FEW", 0)
+    assert found == cut()
+
+
+def test_percentiles_are_those_of_numpy():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 77):
+        own = rng.random(n).round(3)
+        assert segments._percentiles(own, 0, 25, 50, 75, 85, 95, 100) == np.percentile(own, [0, 25, 50, 75, 85, 95, 100]).tolist()
