@@ -30,7 +30,9 @@ SPARE = 8
 TASK_ITEMS = 20_000
 FAN_IN = 4
 #: Runs that an encoder knows at most, and keeps from task to task: those it saw first, which are the frequent ones.
-CACHE, KEPT = 600_000, 100_000
+CACHE, KEPT = 200_000, 100_000
+#: Texts that an encoder is given at once.
+TEXTS = 64
 #: White space as the tokenizer's normaliser knows it, where Python's str.split() knows more.
 ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 #: Marks that the tokenizer always parts from letters before them; "'" may stand with letters and the others in special tokens.
@@ -145,8 +147,8 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     def run(batches):
         encoder = Encoder.shared(path or public_path())
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
                 ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
                 rows = []
                 for doc_id, data in zip(batch.column(0).to_pylist(), ids, strict=True):

@@ -244,6 +244,17 @@ def test_marks_beside_letters():
         assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_an_encoder_forgets():
+    """Past 200,000 runs an encoder drops all but the first ones, and its ids stay those of the tokenizer."""
+    encoder = packing.Encoder(packing.public_path())
+    for lo in range(0, 210_000, 30_000):
+        texts = [" ".join(f"w{i}" for i in range(k, k + 1000)) for k in range(lo, lo + 30_000, 1000)]
+        ids = encoder.encode(texts)
+        assert len(encoder.known) <= 200_000
+        assert np.frombuffer(ids[0], "<u4").tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(["w1 w209999"])[0], "<u4").tolist() == encoder.tokenizer.encode("w1 w209999", add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     rng, rows, labels = random.Random(7), [], []
