@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maqta.config import ChunkConfig
+from maqta.functions import lexicon as L
 from maqta.functions import udtf
 from maqta.operators import benchmark, metrics, segments, vectors
 from maqta.operators.sentences import CHARACTERS, Length
@@ -65,6 +66,16 @@ def test_hierarchy(spark):
     assert children(tiers).count() == len(kids)
 
 
+def test_words_are_counted_once(spark):
+    """A chunk's words are its units' words: no second count of its text, and the same number."""
+    long = " ".join(f"كلمة{i}، a_{i}.b{i}؛ 3.14 و.ب" for i in range(60))
+    for overlap in (0, 2):
+        out = Chunker(max_tokens=20, min_tokens=5, overlap_sentences=overlap).chunk(frame(spark, [f"# أ\n{TOPICS}\n{long}.كلمة\nabc.def!؟ghi…ا", long, ""]))
+        assert "regexp_count" not in out._jdf.queryExecution().toString()
+        rows = out.withColumn("again", F.regexp_count("text", F.lit(L.WORD))).collect()
+        assert len(rows) > 20 and all(r["token_count"] == r["again"] for r in rows)
+
+
 def test_length_functions(spark):
     text = "؛ ".join(["كلمة أولى، كلمة ثانية"] * 6) + " " + "ط" * 50 + "."
     for length in (len, CHARACTERS, lambda t: 3 * len(t.split()) ** 2):
