@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 
 from maqta.functions import lexicon as L
 from maqta.functions import text as X
 from maqta.functions.words import own
 from maqta.operators import sentences as B
-from maqta.operators.sentences import Length, cut_places
+from maqta.operators.sentences import WORDS, Length, cut_places
 from maqta.operators.vectors import bounded
 
 #: Runs before a dot whose kind is kept at most.
@@ -108,7 +110,7 @@ def groups_of(body: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
         at = m.end() if m else at
 
 
-_TERMINATOR = own(B.TERMINATOR)
+_TERMINATOR, _WORD = own(B.TERMINATOR), own(L.WORD)
 _AND_SO_ON, _ERA, _YEAR_ERA, _NUMBER = map(own, (B._AND_SO_ON, B._ERA, B._YEAR_ERA, B._NUMBER))
 #: Python has no class for letters alone; what the group holds is looked at.
 _SHORT = own(B._SHORT.replace(r"\p{L}", r"([^\W\d_])"))
@@ -127,6 +129,21 @@ def _kind(run: str) -> int:
     return 4 if _NUMBER.search(run) else 0
 
 
+#: Which characters are in words, and which a sentence's end may start with; the last place stands for all from there on, which are neither.
+_BASIC = "".join(map(chr, range(0xFFFF)))
+_IN_WORD, _MAY_END = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+for _m in _WORD.finditer(_BASIC):
+    _IN_WORD[_m.start() : _m.end()] = True
+_MAY_END[[ord(c) for c in re.findall(L.TERMINATOR_RUN, _BASIC) for c in c]] = True
+
+
+def _words_within(inside: np.ndarray, starts: list[int], ends: list[int]) -> list[int]:
+    """How many words each range of a text has; inside: which of its characters are in words."""
+    upto = np.concatenate([[0], np.cumsum(inside[1:] & ~inside[:-1])])
+    first, last = np.array(starts), np.array(ends)
+    return (upto[last - 1] - upto[first] + inside[first]).tolist()
+
+
 class Sentences:
     """Sentences of bodies; kinds of runs before dots are kept."""
 
@@ -155,16 +172,23 @@ class Sentences:
             return bool(_ALONE.match(line)) and len(_DIGITS.sub("", line)) <= 8
         return kind == 3
 
-    def of(self, body: str) -> Iterator[tuple[int, str, bool]]:
-        """start, text and whether it opens a paragraph of each sentence of a section's body."""
+    def of(self, body: str, first: int, marks: list[int]) -> Iterator[tuple[int, str, bool]]:
+        """start, text and whether it opens a paragraph of each sentence of a section's body, which starts at ``first``; marks: the
+        places in the text where a sentence's end may start."""
+        k, match = bisect_left(marks, first), _TERMINATOR.match
+        marks = [*marks[k : bisect_left(marks, first + len(body), k)], first + len(body)]
+        k = 0
         for groups in groups_of(body):
             opens = True
             for base, text in groups:
-                at = 0
-                for m in [*_TERMINATOR.finditer(text), None]:
-                    end = len(text)
-                    if m:
-                        dot, end = m.span()
+                at, upto, low, whole = 0, 0, first + base, len(text)
+                while at < whole:
+                    dot, end = marks[k] - low, whole
+                    if dot < whole:
+                        k += 1
+                        if dot < upto or not (m := match(text, dot)):
+                            continue
+                        upto = end = m.end()
                         if text[dot] == "." and not text.startswith("...", dot) and self.protected(text, dot):
                             continue
                     raw = text[at:end]
@@ -176,15 +200,24 @@ class Sentences:
 
     def units(self, text: str, max_tokens: int, respect_structure: bool, length: Length) -> list[Unit]:
         out, of = [], length.of
+        codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+        marks = np.flatnonzero(_MAY_END[codes]).tolist()
+        spans, headings_of = [], []
         for k, (first, body, headings) in enumerate(sections_of(text, respect_structure)):
-            for at, own_text, opens in self.of(body):
-                start, n = first + at, of(own_text)
-                if n <= max_tokens:
-                    out.append(Unit(k, start, start + len(own_text), own_text, opens, n, headings))
-                    continue
-                for i, (a, b) in enumerate(cut_places(own_text, max_tokens, length)):
-                    part = own_text[a:b]
-                    out.append(Unit(k, start + a, start + b, part, opens and i == 0, of(part), headings))
+            headings_of.append(headings)
+            spans += [(k, first + at, own_text, opens) for at, own_text, opens in self.of(body, first, marks)]
+        if length is WORDS and spans:
+            counts = _words_within(_IN_WORD[codes], [s[1] for s in spans], [s[1] + len(s[2]) for s in spans])
+        else:
+            counts = [of(s[2]) for s in spans]
+        for (k, start, own_text, opens), n in zip(spans, counts, strict=True):
+            headings = headings_of[k]
+            if n <= max_tokens:
+                out.append(Unit(k, start, start + len(own_text), own_text, opens, n, headings))
+                continue
+            for i, (a, b) in enumerate(cut_places(own_text, max_tokens, length)):
+                part = own_text[a:b]
+                out.append(Unit(k, start + a, start + b, part, opens and i == 0, of(part), headings))
         return out
 
 

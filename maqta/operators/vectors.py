@@ -26,13 +26,15 @@ from maqta.functions.words import Runs, tagged
 DIMENSIONS = 2048
 NGRAMS = (2, 4)
 WORD_WEIGHT = 2.0
-KNOWN_RUNS, KNOWN_STEMS, KNOWN_FEATURES = 400_000, 400_000, 800_000
+KNOWN_RUNS, KNOWN_STEMS, KNOWN_FEATURES = 600_000, 600_000, 1_600_000
 #: Documents, and characters of them, whose words are looked up at once.
 TOGETHER, CHARACTERS = 16, 1 << 20
 #: Squares of lengths of sums of unit rows below this are those of rows that cancel out.
 NOTHING = 1e-13
 #: Features of units, repeats included, that are counted at once.
 CELLS = 1 << 20
+#: Bits of a feature's number, of a unit's place in its document and of a place in its vector, which are sorted as one number.
+FEATURE_BITS, UNIT_BITS, PLACE_BITS = 28, 24, 11
 #: Gaps whose windows are summed up at once.
 GAPS = 16
 #: Documents that a Python worker turns into objects at once.
@@ -84,7 +86,7 @@ class HashingEmbedder:
         value = known.sign[feature] * (_LOGS[tf.astype(np.int64)] if few else 1.0 + np.log(tf))
         if self.use_idf and n > 1 and len(tf):
             value *= known.idf(feature, n)
-        return SparseRows.of(n, self.dim, unit, known.bucket[feature], value)
+        return SparseRows.of(n, self.dim, unit, known.bucket[feature], value, self.dim <= 1 << PLACE_BITS)
 
     def _matrix(self, units: list[list[str]], known: Vocabulary | None = None) -> np.ndarray:
         """A dense matrix for units that are lists of tagged tokens."""
@@ -118,17 +120,21 @@ class SparseRows:
         self.n, self.dim, self.unit, self.place, self.weight = n, dim, unit, place, weight
 
     @classmethod
-    def of(cls, n: int, dim: int, unit: np.ndarray, place: np.ndarray, value: np.ndarray) -> SparseRows:
-        """Values of one unit and place are added up, and rows are brought to length 1."""
+    def of(cls, n: int, dim: int, unit: np.ndarray, place: np.ndarray, value: np.ndarray, ordered: bool = False) -> SparseRows:
+        """Values of one unit and place are added up, and rows are brought to length 1; ordered: by place and then unit."""
         if not len(value):
             return cls(n, dim, unit, place, value)
         key = place * n + unit
-        bits = len(value).bit_length()
-        order = key << bits | np.arange(len(key))  # sorted as one number: faster than sorting places
-        order.sort()
-        at = _runs_of(order >> bits)
-        value = np.add.reduceat(value[order & (1 << bits) - 1], at)
-        key = order[at] >> bits
+        if ordered:
+            at = _runs_of(key)
+            value, key = np.add.reduceat(value, at), key[at]
+        else:
+            bits = len(value).bit_length()
+            order = key << bits | np.arange(len(key))  # sorted as one number: faster than sorting places
+            order.sort()
+            at = _runs_of(order >> bits)
+            value = np.add.reduceat(value[order & (1 << bits) - 1], at)
+            key = order[at] >> bits
         if not value.all():
             key, value = key[value != 0], value[value != 0]
         place, unit = np.divmod(key, n)
@@ -209,20 +215,35 @@ def _room(column: np.ndarray, n: int) -> np.ndarray:
     return column if len(column) >= n else np.concatenate([column, np.zeros(max(n, len(column)), column.dtype)])
 
 
-#: Checksums of single bytes, and the state of a checksum after "c:".
+#: Checksums of single bytes, the state of a checksum after "c:", and the checksum of "w:".
 _CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
 _OPENED = np.uint32(zlib.crc32(b"c:") ^ 0xFFFFFFFF)
+_WORD_OPENED = zlib.crc32(b"w:")
 #: 1 + log of small counts.
 _LOGS = 1.0 + np.log(np.maximum(np.arange(256), 1))
 #: Characters below this have two bytes at most, and four of them a number of their own as an n-gram.
 _SHORT_CHARACTER, _SHORT_GRAM = 0x800, 4
+#: Bits of a letter's own number, letters counted from 1, in the table of n-grams.
+_LETTER_BITS = 6
+
+
+def _checksums(codes: np.ndarray) -> np.ndarray:
+    """Checksums of "c:" and the characters packed into each number."""
+    state = np.full(len(codes), _OPENED)
+    for k in range(_SHORT_GRAM - 1, -1, -1):
+        at = (codes >> 11 * k & 0x7FF).astype(np.uint32)
+        more = state >> 8 ^ _CRC[(state ^ np.where(at < 0x80, at, 0xC0 | at >> 6)) & 255]
+        more = np.where(at >= 0x80, more >> 8 ^ _CRC[(more ^ (0x80 | at & 63)) & 255], more)
+        state = np.where(at > 0, more, state)
+    return ~state
 
 
 class Vocabulary:
     """Tokens and features seen by a worker, numbered as they come; features of a token lie side by side in one array.
 
-    "=x" is a stem, "~x" a word of a unit without stems.  Features are told apart by their names, or n-grams by their
-    characters packed into a number.
+    "=x" is a stem, "~x" a word of a unit without stems.  A token's first feature is the word itself, the same for "=x" and "~x".
+    N-grams of the letters met first, as many as have a number, are looked up in a table, others by their characters packed into a
+    number or by their names.
     """
 
     def __init__(self, embedder: HashingEmbedder) -> None:
@@ -230,67 +251,140 @@ class Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.tokens, self.names = _Numbers(), _Numbers()
+        self.tokens, self.names, self.known = _Numbers(), {}, 0
         self.first, self.width, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 15, np.int64), 0
         self.bucket, self.sign, self.weight = np.zeros(1 << 14, np.int64), np.zeros(1 << 14), np.zeros(1 << 14)
         self.seen = np.zeros(1 << 14, np.int64)
         #: Runs of characters without white space; " x" is the word x of a unit without stems.
         self.runs, self.run_first, self.run_width = _Numbers(), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-
-    def _grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner (place in ``words``), packed characters and checksum of each n-gram of words of short characters."""
+        #: Features of words of units without stems.
+        self.plain: dict[str, int] = {}
+        #: Numbers of letters, 0 for those without, and of n-grams by those, counted from 1; only what is touched takes up memory.
+        self.letter, self.letters = np.zeros(_SHORT_CHARACTER, np.int64), 0
+        low, high = self.embedder.ngram_range
+        self.table = np.zeros(1 << _LETTER_BITS * high if 1 <= low <= high <= _SHORT_GRAM else 0, np.int32)
+
+    def _new(self, n: int) -> int:
+        """The first of ``n`` numbers for new features."""
+        self.known += n
+        self.bucket, self.sign, self.weight, self.seen = (_room(x, self.known) for x in (self.bucket, self.sign, self.weight, self.seen))
+        return self.known - n
+
+    def _describe(self, number: np.ndarray, crcs: np.ndarray, weight: float) -> None:
+        self.bucket[number], self.sign[number], self.weight[number] = crcs % self.embedder.dim, np.where(crcs >> 31, 1.0, -1.0), weight
+
+    def _number_letters(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of letters, which new ones get as long as there are any."""
+        found = self.letter[at]
+        room = (1 << _LETTER_BITS) - 1 - self.letters
+        if room and not found.all():
+            fresh = np.unique(at[found == 0])[:room]
+            self.letter[fresh] = self.letters + 1 + np.arange(len(fresh))
+            self.letters += len(fresh)
+            found = self.letter[at]
+        return found
+
+    def _grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Owner (place in ``words``) and number of each n-gram of words of short characters."""
         low, high = self.embedder.ngram_range
         at = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(w) + 2 for w in words])
         owner, ends = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
-        lead, tail, two = np.where(at < 0x80, at, 0xC0 | at >> 6), 0x80 | at & 63, at >= 0x80
-        state, code, out = np.full(len(at), _OPENED), np.zeros(len(at), np.int64), []
+        left = ends - np.arange(len(at))
+        letter, wide, out = self._number_letters(at), at.astype(np.int64), []
+        odd = letter == 0
+        few = not odd.any()
+        code, packed, strange = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
         for n in range(1, high + 1):
             # One more character of what starts at each place.
-            k = n - 1
-            state, code = state[: len(at) - k], code[: len(at) - k] << 11 | at[k:]
-            state = state >> 8 ^ _CRC[(state ^ lead[k:]) & 255]
-            state = np.where(two[k:], state >> 8 ^ _CRC[(state ^ tail[k:]) & 255], state)
+            k, size = n - 1, max(0, len(at) - n + 1)
+            code, packed = code[:size] << _LETTER_BITS | letter[k:], packed[:size] << 11 | wide[k:]
+            strange = strange[:size] if few else strange[:size] | odd[k:]
             if n >= low:
-                whole = np.flatnonzero(np.arange(n, len(at) + 1) <= ends[: len(at) - k])
-                out.append((owner[whole], code[whole], ~state[whole]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                whole = left[:size] >= n
+                out.append((owner[:size][whole], code[whole], packed[whole], strange[whole]))
+        owner, code, packed, strange = (np.concatenate(x) for x in zip(*out, strict=True))
+        if few:
+            return owner, self._looked_up(code, packed)
+        number = np.zeros(len(code), np.int64)
+        number[~strange] = self._looked_up(code[~strange], packed[~strange])
+        number[strange] = self._named(packed[strange].tolist())
+        return owner, number
+
+    def _looked_up(self, code: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Numbers of n-grams by the table."""
+        number = self.table[code]
+        fresh = np.flatnonzero(number == 0)
+        if len(fresh):
+            own, one = np.unique(code[fresh], return_index=True)
+            first = self._new(len(own))
+            added = np.arange(first, first + len(own))
+            self._describe(added, _checksums(packed[fresh[one]]), 1.0)
+            self.table[own] = added + 1
+            number[fresh] = self.table[code[fresh]]
+        return number.astype(np.int64) - 1
+
+    def _named(self, keys: list[str] | list[int]) -> np.ndarray:
+        """Numbers of n-grams by their names, or by their characters packed into a number."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.names]
+        if fresh:
+            first = self._new(len(fresh))
+            self.names.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            sums = np.array([zlib.crc32(k.encode()) for k in fresh], np.uint32) if isinstance(fresh[0], str) else _checksums(np.array(fresh, np.int64))
+            self._describe(np.arange(first, first + len(fresh)), sums, 1.0)
+        return np.fromiter(map(self.names.__getitem__, keys), np.int64, len(keys))
+
+    def _words(self, tokens: list[str], base: int) -> np.ndarray:
+        """Numbers of the words that new tokens are, which have the numbers from ``base`` on."""
+        number, fresh, plain, first = [], [], self.plain, self.known
+        for i, token in enumerate(tokens):
+            word, known = token[1:], None
+            if token[0] == "=":
+                known = plain.get(word) if plain else None
+            else:
+                k = self.tokens.get("=" + word)
+                if k is not None and k < base + i:
+                    known = number[k - base] if k >= base else int(self.flat[self.first[k]]) & (1 << FEATURE_BITS) - 1
+                else:
+                    plain[word] = first + len(fresh)
+            if known is None:
+                known = first + len(fresh)
+                fresh.append(zlib.crc32(word.encode(), _WORD_OPENED))
+            number.append(known)
+        self._describe(np.arange(self._new(len(fresh)), self.known), np.array(fresh, np.uint32), self.embedder.word_weight)
+        return np.array(number, np.int64)
 
     def _learn(self, tokens: list[str]) -> None:
         """Numbers for new tokens and the features that they bring."""
         e, base = self.embedder, len(self.tokens) - len(tokens)
-        owner, keys, crcs, heavy = [], [], [], []
-        short, low, high = [], *e.ngram_range
-        for i, token in enumerate(tokens):
-            word = token[1:]
-            names = ["w:" + word]
-            if token[0] == "=":
-                if 1 <= low <= high <= _SHORT_GRAM and ord(max(word)) < _SHORT_CHARACTER:
-                    short.append(i)
-                else:
-                    padded = f" {word} "
-                    names += ["c:" + padded[k : k + n] for n in range(low, high + 1) for k in range(len(padded) - n + 1)]
-            owner += [i] * len(names)
-            keys += names
-            crcs += [zlib.crc32(x.encode()) for x in names]
-            heavy += [e.word_weight] + [1.0] * (len(names) - 1)
-        owner, crcs, heavy = np.array(owner, np.int64), np.array(crcs, np.uint32), np.array(heavy)
+        low, high = e.ngram_range
+        number, owner = [self._words(tokens, base)], [np.arange(len(tokens))]
+        short = [i for i, t in enumerate(tokens) if t[0] == "=" and ord(max(t)) < _SHORT_CHARACTER] if len(self.table) else []
         if short:
-            of, codes, more = self._grams([tokens[i][1:] for i in short])
-            owner, crcs, heavy = np.concatenate([owner, np.array(short)[of]]), np.concatenate([crcs, more]), np.concatenate([heavy, np.ones(len(of))])
-            keys += codes.tolist()
-        number = np.fromiter(map(self.names.__getitem__, keys), np.int64, len(keys))
-        n = len(self.names)
-        self.bucket, self.sign, self.weight, self.seen = (_room(x, n) for x in (self.bucket, self.sign, self.weight, self.seen))
-        self.bucket[number], self.sign[number], self.weight[number] = crcs % e.dim, np.where(crcs >> 31, 1.0, -1.0), heavy
+            of, found = self._grams([tokens[i][1:] for i in short])
+            owner.append(np.array(short)[of])
+            number.append(found)
+        if len(short) < len(tokens):
+            one_by_one, names, held = set(short), [], []
+            for i, token in enumerate(tokens):
+                if token[0] == "=" and i not in one_by_one:
+                    padded = f" {token[1:]} "
+                    own = ["c:" + padded[k : k + n] for n in range(low, high + 1) for k in range(len(padded) - n + 1)]
+                    names += own
+                    held += [i] * len(own)
+            owner.append(np.array(held, np.int64))
+            number.append(self._named(names))
+        owner, number = np.concatenate(owner), np.concatenate(number)
         width = np.bincount(owner, minlength=len(tokens))
         self.first, self.width, self.flat = _room(self.first, base + len(tokens)), _room(self.width, base + len(tokens)), _room(self.flat, self.used + len(number))
         self.first[base : base + len(tokens)], self.width[base : base + len(tokens)] = self.used + np.cumsum(width) - width, width
+        if e.dim <= 1 << PLACE_BITS:
+            number = self.bucket[number] << FEATURE_BITS + UNIT_BITS | number
         self.flat[self.used : self.used + len(number)] = number[np.argsort(owner.astype(np.uint16) if len(tokens) <= 1 << 16 else owner, kind="stable")]
         self.used += len(number)
 
     def _forget(self) -> None:
-        if len(self.runs) > KNOWN_RUNS or len(self.tokens) > KNOWN_STEMS or len(self.names) > KNOWN_FEATURES:
+        if len(self.runs) > KNOWN_RUNS or len(self.tokens) > KNOWN_STEMS or self.known > KNOWN_FEATURES:
             self.clear()
 
     def _token_numbers(self, tokens: list[str]) -> np.ndarray:
@@ -334,7 +428,9 @@ class Vocabulary:
         text's runs start, and the end.  All this holds until the next call."""
         self._forget()
         # No word holds a dot or comma, and no rule looks across one: without them there are half as many runs to know.
-        split = [t.replace(",", " ").replace(".", " ").split() for t in texts]
+        split = [t.split() for t in "\0".join(texts).replace(",", " ").replace(".", " ").split("\0")]
+        if len(split) != len(texts):  # a text holds the mark
+            split = [t.replace(",", " ").replace(".", " ").split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         run = self._run_numbers(split, sizes)
         held = np.bincount(np.repeat(np.arange(len(split)), sizes), self.run_width[run], len(split))
@@ -354,7 +450,8 @@ class Vocabulary:
         return (self.first[token], self.width[token], np.array([bool(u) and u[0][0] == "~" for u in units], bool)), np.concatenate([[0], np.cumsum(sizes)])
 
     def counted(self, numbers: tuple[np.ndarray, np.ndarray, np.ndarray], ends: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """unit, feature and weighted count of each feature of each of the units from ``at`` on, whose runs are bounded by ``ends``."""
+        """unit, feature and weighted count of each feature of each of the units from ``at`` on, whose runs are bounded by ``ends``; in the
+        order of places in vectors and then units, if places are few enough."""
         lo, hi = int(ends[0]), int(ends[-1])
         first, every, bare, flat = numbers[0][lo:hi], numbers[1][lo:hi], numbers[2][at : at + len(ends) - 1], self.flat
         if not every.any():
@@ -367,14 +464,17 @@ class Vocabulary:
             width = every[lo:hi]
             ends = np.cumsum(width)
             place = np.arange(ends[-1]) + np.repeat(first[lo:hi] - ends + width, width)
-            key = np.repeat(owner[lo:hi] << 32, width) | flat[place]
+            key = np.repeat(owner[lo:hi] << FEATURE_BITS, width) | flat[place]
             key.sort()
             if len(key):
                 at = _runs_of(key)
                 found.append((key[at], np.concatenate([at[1:], [len(key)]]) - at))
             lo = hi
         key, times = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
-        unit, feature = key >> 32, key & 0xFFFFFFFF
+        if len(found) > 1:
+            order = np.argsort(key)
+            key, times = key[order], times[order]
+        unit, feature = key >> FEATURE_BITS & (1 << UNIT_BITS) - 1, key & (1 << FEATURE_BITS) - 1
         weight = self.weight[feature]
         return unit, feature, times * (np.where(bare[unit], 1.0, weight) if bare.any() else weight)
 

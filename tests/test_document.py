@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -149,3 +150,39 @@ def test_percentiles_are_those_of_numpy():
     for n in (1, 2, 3, 10, 77):
         own = rng.random(n).round(3)
         assert segments._percentiles(own, 0, 25, 50, 75, 85, 95, 100) == np.percentile(own, [0, 25, 50, 75, 85, 95, 100]).tolist()
+
+
+def test_grams_of_short_letters_are_looked_up_without_names():
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x621, 0x64B)]
+    stems = ["=" + "".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    known = vectors.Vocabulary(vectors.HashingEmbedder())
+    known.of_tokens([stems])
+    assert not known.names and known.known > 1000
+    # Letters beyond those that have a number, and words that are stems elsewhere, have the features of their names too.
+    many = ["=" + "".join(chr(rng.randrange(0x410, 0x590)) for _ in range(5)) for _ in range(200)]
+    many += ["=" + "a" * k for k in range(1, 6)] + [p + w for w in ("ab", "ba") for p in rng.sample("=~", 2)] + ["=wide一", "~new"]
+    for group in (stems, many, stems):
+        numbers, ends = known.of_tokens([[t] for t in group])
+        unit, feature, times = known.counted(numbers, ends)
+        for k, token in enumerate(group):
+            word = token[1:]
+            want = {"w:" + word: 1.0 if token[0] == "~" else 2.0}
+            for i in range(len(word) + 2) if token[0] == "=" else ():
+                for n in (2, 3, 4):
+                    if i + n <= len(word) + 2:
+                        name = "c:" + f" {word} "[i : i + n]
+                        want[name] = want.get(name, 0.0) + 1.0
+            own = unit == k
+            assert len(feature[own]) == len(want)
+            sums = {name: zlib.crc32(name.encode()) for name in want}
+            got = sorted(zip(known.bucket[feature[own]].tolist(), known.sign[feature[own]].tolist(), times[own].tolist(), strict=True))
+            assert got == sorted((s % 2048, 1.0 if s >> 31 else -1.0, want[name]) for name, s in sums.items())
+
+
+def test_words_of_units_are_counted_together():
+    found = document.Sentences()
+    for text in odd_texts(60):
+        spans = [(u.start, u.end) for u in found.units(text, 10**6, False, CHARACTERS)]
+        inside = np.array([bool(sentences._WORDS.match(c)) for c in text], bool)
+        assert not spans or document._words_within(inside, *map(list, zip(*spans, strict=True))) == [WORDS.of(text[a:b]) for a, b in spans]
