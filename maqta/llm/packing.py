@@ -16,11 +16,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import table, tidy, written
+from maqta.llm.common import table, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -231,17 +231,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITE
 
     No piece is longer than ``capacity``.  Pieces of full length are sequences of their own.  Of bins that fit a piece
     equally well the one that got so little room last is taken.
+
+    Pieces and rounds are kept on the executors' disks, and what is lost is made again, the same: rows of a round are
+    ordered by their bins.  As files they would be one for each small partition of the input and of each round, and
+    where Hadoop has no native library every new file forks the executor's JVM.
     """
     lone = F.monotonically_increasing_id()
-    rows = written(pieces.select(*PIECE, lone.alias("bin"), F.lit(0).cast("long").alias("offset")), "pack-pieces")
+    rows = pieces.select(*PIECE, lone.alias("bin"), F.lit(0).cast("long").alias("offset")).persist(StorageLevel.DISK_ONLY)
     done, total = [rows.where(F.col("length") >= capacity).withColumn("bin", F.col("bin") + F.lit(1 << 55)).select(*PIECE, F.col("bin").alias("sequence_id"), "offset")], rows.count()
     left, level = rows.where(F.col("length") < capacity), 1
     n, last = max(1, -(-total // task_items)), False
+    files = n
     while True:
         last = last or n == 1
         # Bins are dealt out by a hash of their number, so every partition sees the same mix of sizes.
         dealt = left.repartition(n, F.xxhash64("bin", F.lit(level)))
-        packed = written(_round(dealt, capacity, last, level), f"pack-{level}")
+        packed = _round(dealt, capacity, last, level).persist(StorageLevel.DISK_ONLY)
         done.append(packed.where("nearly_full").select(*PIECE, F.col("bin").alias("sequence_id"), "offset"))
         left = packed.where(~F.col("nearly_full"))
         if last:
@@ -255,7 +260,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITE
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.coalesce(files)  # else a partition for each of the input's and of every round's
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -202,6 +203,20 @@ def check_packing(rows):
     return len(by)
 
 
+def test_packing_of_many_small_partitions_makes_few_files(spark, tmp_path):
+    """Parts of the result follow from the number of pieces, and no files but the result's are written."""
+    held = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(held.iterdir()) if held.exists() else set()
+    rows = [(d, 0, 0, 1 + d * 37 % 2047, d) for d in range(1500)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(50)
+    out = packing.pack(pieces, task_items=500)
+    out.write.parquet(f"{tmp_path}/out")
+    assert 1 <= len(list((tmp_path / "out").glob("part-*"))) <= 3
+    assert (set(held.iterdir()) if held.exists() else set()) == before
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1500)) and check_packing(got) >= 1
+
+
 def test_packing_rounds(spark):
     rng = random.Random(6)
     rows = [(i, 0, 0, rng.choice([rng.randint(1, 300), rng.randint(900, 2048)]), i) for i in range(5000)]
