@@ -20,7 +20,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maqta.llm.common import table, tidy
+from maqta.llm.common import batches_of, table, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -238,7 +238,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITE
     """
     lone = F.monotonically_increasing_id()
     rows = pieces.select(*PIECE, lone.alias("bin"), F.lit(0).cast("long").alias("offset")).persist(StorageLevel.DISK_ONLY)
-    done, total = [rows.where(F.col("length") >= capacity).withColumn("bin", F.col("bin") + F.lit(1 << 55)).select(*PIECE, F.col("bin").alias("sequence_id"), "offset")], rows.count()
+    done = [rows.where(F.col("length") >= capacity).withColumn("bin", F.col("bin") + F.lit(1 << 55)).select(*PIECE, F.col("bin").alias("sequence_id"), "offset")]
+    with batches_of(pieces.sparkSession):  # this makes the pieces, of texts that may be long
+        total = rows.count()
     left, level = rows.where(F.col("length") < capacity), 1
     n, last = max(1, -(-total // task_items)), False
     files = n

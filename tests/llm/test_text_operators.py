@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,21 @@ def test_packing_of_many_small_partitions_makes_few_files(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got) == list(range(1500)) and check_packing(got) >= 1
 
 
+def test_texts_to_be_packed_reach_a_worker_in_small_batches(spark):
+    rows = [(d, "a b c") for d in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            n = b.num_rows
+            yield pa.record_batch([b.column(0), pa.array([0] * n, pa.int32()), pa.array([0] * n), pa.array([n] * n), pa.array([0] * n)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    out = packing.pack(docs.mapInArrow(sizes, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    assert max(r["length"] for r in out.collect()) <= 1000 and spark.conf.get(key) == before
+
+
 def test_packing_rounds(spark):
     rng = random.Random(6)
     rows = [(i, 0, 0, rng.choice([rng.randint(1, 300), rng.randint(900, 2048)]), i) for i in range(5000)]
